@@ -106,18 +106,21 @@ def exact_quantiles(
 
     The built-in exact percentile keeps every distinct value of a group in one
     task.  Here a mergeable sketch first brackets each wanted rank; a second
-    pass counts what lies below the bracket and keeps only the values inside,
-    about ``4 / accuracy`` of the group, folded by value.  The rank is then
-    read off exactly.  A bracket that fails to enclose its rank raises.  For a
-    group of at most ``10 * accuracy`` rows the bracket is the whole group.
+    pass folds what lies between the brackets into counts and keeps only the
+    values inside, about ``4 / accuracy`` of the group per rank, folded by
+    value.  The rank is then read off exactly.  A bracket that fails to enclose
+    its rank raises.  For a group of at most ``10 * accuracy`` rows the bracket
+    is the whole group.
     """
     by = list(by)
-    data = df.select(*by, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    margin = 2.0 / accuracy
-    names = list(probabilities)
-    bounds = [max(0.0, probabilities[n] - margin) for n in names] + [min(1.0, probabilities[n] + margin) for n in names]
+    # no filter on the value: it would be pushed below, and repeat, the expressions it comes from
+    data = df.select(*by, F.col(value).alias("_v"))
+    names = sorted(probabilities, key=probabilities.get)
+    margin, k = 2.0 / accuracy, len(names)
+    low = [max(0.0, probabilities[n] - margin) for n in names]
+    high = [min(1.0, probabilities[n] + margin) for n in names]
     sketch = data.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", bounds, accuracy).alias("_s"),
+        F.count("_v").alias("_n"), F.percentile_approx("_v", low + high, accuracy).alias("_s"),
         F.min("_v").alias("_min"), F.max("_v").alias("_max"),
     )
 
@@ -125,55 +128,54 @@ def exact_quantiles(
         whole = F.lit(outermost) | (F.col("_n") <= 10 * accuracy)
         return F.when(whole, F.col(extreme)).otherwise(F.get("_s", F.lit(i)))
 
-    brackets = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("_q"),
-                (F.lit(probabilities[name]) * (F.col("_n") - 1)).alias("_rank"),
-                edge(i, "_min", bounds[i] == 0.0).alias("_lo"),
-                edge(i + len(names), "_max", bounds[i + len(names)] == 1.0).alias("_hi"),
-            )
-            for i, name in enumerate(names)
-        ]
+    plan = sketch.select(
+        *by, "_n", F.array(*[edge(i, "_min", low[i] == 0.0) for i in range(k)]).alias("_lo"),
+        F.array(*[edge(k + i, "_max", high[i] == 1.0) for i in range(k)]).alias("_hi"),
     )
-    plan = sketch.select(*by, "_min", "_max", brackets.alias("_b"))
     if by:
-        rows = data.join(plan, by)
+        rows = data.join(plan, by, "left")
     else:
-        whole = plan.select(F.struct("_min", "_max", "_b")).scalar()
-        rows = data.withColumn("_plan", whole).select("_v", "_plan._min", "_plan._max", "_plan._b")
-    # below a bracket every value folds into one counter, inside it one per distinct value
-    hits = rows.select(*by, "_v", F.explode("_b").alias("_x")).filter(F.col("_v") <= F.col("_x._hi"))
-    inside = F.when(F.col("_v") >= F.col("_x._lo"), F.col("_v"))
-    folded = hits.groupBy(*by, F.col("_x._q").alias("_q"), F.col("_x._rank").alias("_rank"), inside.alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c")
+        whole = plan.select(F.struct("_n", "_lo", "_hi")).scalar()
+        rows = data.withColumn("_plan", whole).select("_v", "_plan.*")
+
+    # brackets follow each other: a value in region r lies above r brackets, and
+    # the values of a region that are in no bracket lie before those that are
+    region, inside = F.lit(0), F.lit(False)
+    for i in range(k):
+        above = F.col("_v") > F.get("_hi", F.lit(i))
+        region = region + above.cast("int")
+        inside = inside | (~above & (F.col("_v") >= F.get("_lo", F.lit(i))))
+    folded = rows.groupBy(*by, "_n", region.alias("_region"), F.when(inside, F.col("_v")).alias("_k")).agg(
+        F.count("_v").alias("_c")
     )
-    order = Window.partitionBy(*by, "_q").orderBy(F.col("_v").asc_nulls_first())
+    order = Window.partitionBy(*by).orderBy("_region", F.col("_k").asc_nulls_first())
     upto = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = folded.withColumn("_upto", upto)
-    low, high = F.floor("_rank"), F.ceil("_rank")
-    first = (F.col("_upto") - F.col("_c") <= low) & (low < F.col("_upto"))
-    second = (F.col("_upto") - F.col("_c") <= high) & (high < F.col("_upto"))
-    picked = placed.groupBy(*by, "_q", "_rank").agg(
-        F.max(F.when(first, F.col("_v"))).alias("_a"), F.max(F.when(second, F.col("_v"))).alias("_z")
-    )
-    weight = F.col("_rank") - low
-    answer = F.col("_a") + (F.col("_z") - F.col("_a")) * weight
-    checked = F.when(F.col("_a").isNotNull() & F.col("_z").isNotNull(), answer).otherwise(
-        F.raise_error(F.lit("quantile bracket does not enclose its rank")).cast("double")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_c") <= rank) & (rank < F.col("_upto")), F.col("_k")))
+
+    ranks = {n: F.lit(probabilities[n]) * (F.col("_n") - 1) for n in names}
+    picked = placed.groupBy(*by, "_n").agg(
+        *[at(F.floor(r)).alias(f"_a_{n}") for n, r in ranks.items()], *[at(F.ceil(r)).alias(f"_z_{n}") for n, r in ranks.items()]
     )
-    wide = picked.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == n, checked)).alias(n) for n in names])
-    return wide
+
+    def answer(n: str) -> Column:
+        a, z = F.col(f"_a_{n}"), F.col(f"_z_{n}")
+        exact = a + (z - a) * (ranks[n] - F.floor(ranks[n]))
+        missed = F.raise_error(F.lit("quantile bracket does not enclose its rank")).cast("double")
+        return F.when(a.isNotNull() & z.isNotNull(), exact).otherwise(missed).alias(n)
+
+    return picked.filter(F.col("_n") > 0).select(*by, *[answer(n) for n in probabilities])
 
 
 def distribution_stats(df: DataFrame, value: str = "Si", by: Sequence[str] = ("Campaign",)) -> DataFrame:
     """Min, quartiles, max, mean and population deviation; groups without a value are absent."""
     by = list(by)
-    data = df.filter(F.col(value).isNotNull())
-    moments = data.groupBy(*by).agg(
+    moments = df.groupBy(*by).agg(
         F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")
     )
-    quartiles = exact_quantiles(data, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
+    quartiles = exact_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
     columns = [*by, "min", "q1", "median", "q3", "max", "mean", "std"]
     if by:
         return moments.join(quartiles, by).select(*columns)

@@ -181,8 +181,10 @@ ORACLE: dict[str, str] = {
         select row_no, {r6(f"case when {over_file('t', 'campaign')} > 200 then t else t + {dbl(273.15)} end")} as t_k from m""",
     # -------------------------------------------------------------------- joins
     "asof_nearest_1": f"""{OBS}, {instrument('click', 'l')}, r as (select ts, {{'no': row_no, 'lat': lat}} as v from obs where campaign = 'view'),
-        {nearest('l', 'r', 'row_no', 'interval 600 second')}
+        {nearest('l', 'r', 'row_no', 'interval 10 second')}
         select l.row_no, l.ts, n.v.no as view_row_no, n.v.lat as view_lat from l join n on l.row_no = n.row_no""",
+    "asof_nearest_wide": f"""{OBS}, {instrument('click', 'l')}, r as (select ts, row_no as v from obs where campaign = 'purchase'),
+        {nearest('l', 'r', 'row_no', 'interval 600 second')} select row_no, v as buy_row_no from n""",
     "asof_nearest_by_key": f"""{OBS}, {instrument('click', 'l')}, r as (select ts, user_id, row_no as v from obs where campaign = 'view'),
         {nearest('l', 'r', 'row_no', 'interval 86400 second', by='user_id')} select row_no, v as view_row_no from n""",
     "asof_nearest_dups": f"""with l as (select o_orderkey, o_custkey as k, o_orderdate as ts from orders where o_orderpriority <> '5-LOW'),

@@ -219,23 +219,34 @@ def guard_celsius_to_k(spark, d):
 
 # ----------------------------------------------------------------------- joins
 
-def _instrument(spark, d, name: str, prefix: str = "") -> DataFrame:
-    return obs(spark, d).filter(c("campaign") == name).select(
+def _instrument(df: DataFrame, name: str, prefix: str = "") -> DataFrame:
+    return df.filter(c("campaign") == name).select(
         c("row_no").alias(f"{prefix}row_no"), "ts", "source_file", "user_id", c("lat").alias(f"{prefix}lat")
     )
 
 
 @query
 def asof_nearest_1(spark, d):
-    left = _instrument(spark, d, "click").select("row_no", "ts")
-    right = _instrument(spark, d, "view", "view_").select("ts", "view_row_no", "view_lat")
-    return asof.nearest_asof(left, right, "ts", 600, tiebreak=["view_row_no"])
+    df = obs(spark, d)
+    left = _instrument(df, "click").select("row_no", "ts")
+    right = _instrument(df, "view", "view_").select("ts", "view_row_no", "view_lat")
+    return asof.nearest_asof(left, right, "ts", 10, tiebreak=["view_row_no"])
+
+
+@query
+def asof_nearest_wide(spark, d):
+    """A tolerance far above the bucket width."""
+    df = obs(spark, d)
+    left = _instrument(df, "click").select("row_no", "ts")
+    right = _instrument(df, "purchase", "buy_").select("ts", "buy_row_no")
+    return asof.nearest_asof(left, right, "ts", 600, tiebreak=["buy_row_no"]).select("row_no", "buy_row_no")
 
 
 @query
 def asof_nearest_by_key(spark, d):
-    left = _instrument(spark, d, "click").select("row_no", "ts", "user_id")
-    right = _instrument(spark, d, "view", "view_").select("ts", "user_id", "view_row_no")
+    df = obs(spark, d)
+    left = _instrument(df, "click").select("row_no", "ts", "user_id")
+    right = _instrument(df, "view", "view_").select("ts", "user_id", "view_row_no")
     return asof.nearest_asof(left, right, "ts", 86400, by=["user_id"], tiebreak=["view_row_no"]).select(
         "row_no", "view_row_no"
     )
@@ -256,8 +267,9 @@ def asof_nearest_dups(spark, d):
 
 @query
 def asof_fold_3way(spark, d):
-    left = _instrument(spark, d, "click").select("row_no", "ts", "source_file")
-    others = {n: _instrument(spark, d, n, f"{n}_").drop("user_id", f"{n}_lat") for n in ("purchase", "view")}
+    df = obs(spark, d)
+    left = _instrument(df, "click").select("row_no", "ts", "source_file")
+    others = {n: _instrument(df, n, f"{n}_").drop("user_id", f"{n}_lat") for n in ("purchase", "view")}
     folded = asof.nearest_asof_fold(left, others, "ts", 60, tiebreak=["source_file"])
     sources = [n for n in folded.columns if n.startswith("source_file")]
     return folded.select(
@@ -593,6 +605,10 @@ def _line_rows(spark, d, folder: str, suffix: str, line: Column) -> DataFrame:
     )
 
 
+def _open(files: DataFrame, header: list[Column], body: DataFrame, fmt: fm.TableFormat):
+    return open_lines(numbered_lines(files, header, body), fmt, n_files=files.count())
+
+
 def _s(column: str) -> Column:
     return c(column).cast("string")
 
@@ -607,8 +623,7 @@ def _icartt_tables(spark, d):
         F.when(c("l_linenumber") == 7, "1"),                       # over-long row
     )
     header = [F.lit("4, 1001"), F.lit("PI, Institute"), F.lit("2001, 02, 03, 2002, 1, 1"), F.lit("Time_UTC, qty, price, disc,")]
-    lines = numbered_lines(_supplier_files(spark, d, "DLH-H2O", ".ict"), header, _line_rows(spark, d, "DLH-H2O", ".ict", line))
-    return open_lines(lines, ICARTT)
+    return _open(_supplier_files(spark, d, "DLH-H2O", ".ict"), header, _line_rows(spark, d, "DLH-H2O", ".ict", line), ICARTT)
 
 
 def _stamp(rows: DataFrame, *out: str) -> DataFrame:
@@ -653,7 +668,7 @@ def ingest_file_errors(spark, d):
     ]
     files = _supplier_files(spark, d, "X", ".ict")
     body = _line_rows(spark, d, "X", ".ict", F.concat_ws(",", _s("l_orderkey"), _s("l_quantity"), _s("l_tax")))
-    return open_lines(numbered_lines(files, header, body), ICARTT).errors().select("file_name", "error")
+    return _open(files, header, body, ICARTT).errors().select("file_name", "error")
 
 
 @query
@@ -663,8 +678,7 @@ def ingest_whitespace(spark, d):
         F.lit(" "), _s("l_tax"),
     )
     header = [F.lit("5 1001"), F.lit("campaign"), F.lit(" 2002 07 09  2003 01 01"), F.lit("Time Air-Temp FrostPoint"), F.lit("s C C")]
-    lines = numbered_lines(_supplier_files(spark, d, "W", ".dat"), header, _line_rows(spark, d, "W", ".dat", line))
-    rows = open_lines(lines, NAMES_BEFORE_LAST).rows({"time": "Time", "tair": "Air_Temp", "frost": "FrostPoint"}, sentinels=COMMON_SENTINELS)
+    rows = _open(_supplier_files(spark, d, "W", ".dat"), header, _line_rows(spark, d, "W", ".dat", line), NAMES_BEFORE_LAST).rows({"time": "Time", "tair": "Air_Temp", "frost": "FrostPoint"}, sentinels=COMMON_SENTINELS)
     return _stamp(rows, "tair", "frost")
 
 
@@ -672,8 +686,7 @@ def ingest_whitespace(spark, d):
 def ingest_unit_names(spark, d):
     line = F.concat_ws(" ", _s("l_orderkey"), _s("l_quantity"), _s("l_tax"))
     header = [F.lit("3 1001"), F.lit("2002 07 09"), F.lit("UT (s) T (K)  RHi (%)")]
-    lines = numbered_lines(_supplier_files(spark, d, "U", ".jlh"), header, _line_rows(spark, d, "U", ".jlh", line))
-    rows = open_lines(lines, NAMES_WITH_UNITS).rows(
+    rows = _open(_supplier_files(spark, d, "U", ".jlh"), header, _line_rows(spark, d, "U", ".jlh", line), NAMES_WITH_UNITS).rows(
         {
             "time": lambda ns: N.first_where(ns, lambda n: F.lower(n).startswith("ut")), "t_k": "T_K",
             "rh": lambda ns: N.first_where(ns, lambda n: F.lower(n).contains("rh")),
@@ -687,8 +700,7 @@ def ingest_fixed_names(spark, d):
     cells = {"Time": _s("l_orderkey"), "Air_Temp": _s("l_quantity"), "FrostPoint": _s("l_tax"), "POS_Alt": _s("l_discount")}
     line = F.concat_ws(" ", *[cells.get(n, F.lit("999999.9999")) for n in OLYMPEX_TABLE])
     header = [F.lit("2 1001"), F.lit("2015 11 12")]
-    lines = numbered_lines(_supplier_files(spark, d, "O", ".und"), header, _line_rows(spark, d, "O", ".und", line))
-    rows = open_lines(lines, OLYMPEX_FORMAT).rows(
+    rows = _open(_supplier_files(spark, d, "O", ".und"), header, _line_rows(spark, d, "O", ".und", line), OLYMPEX_FORMAT).rows(
         {"time": "Time", "tair": "Air_Temp", "frost": "FrostPoint", "alt": "POS_Alt", "rh": "RH"}, sentinels=COMMON_SENTINELS
     )
     return _stamp(rows, "tair", "frost", "alt", "rh")
@@ -704,8 +716,7 @@ def ingest_scaled_table(spark, d):
         F.lit("7 1001"), F.lit("2002 07 09"), F.lit("x"), F.lit("y"), F.lit("1 0.1 0.01 0.001 1 ; scale factors"),
         F.lit("99999999 9999 9999999 5 9999; missing"), F.lit("UT P_ALT LAT LONG TAS"),
     ]
-    lines = numbered_lines(_supplier_files(spark, d, "P", ".mms"), header, _line_rows(spark, d, "P", ".mms", line))
-    rows = open_lines(lines, POSITION_FORMAT).rows({"time": "UT", "alt": "P_ALT", "lat": "LAT", "lon": "LONG"})
+    rows = _open(_supplier_files(spark, d, "P", ".mms"), header, _line_rows(spark, d, "P", ".mms", line), POSITION_FORMAT).rows({"time": "UT", "alt": "P_ALT", "lat": "LAT", "lon": "LONG"})
     return rounded(_stamp(rows, "alt", "lat", "lon"))
 
 
@@ -719,7 +730,7 @@ def ingest_header_scan(spark, d):
     name = F.concat(F.lit("2014_05_06_"), c("file_name"))
     files = _supplier_files(spark, d, "I", suffix).withColumn("file_name", name)
     body = _line_rows(spark, d, "I", suffix, line).withColumn("file_name", name)
-    rows = open_lines(numbered_lines(files, header, body), IPHEX_FORMAT).rows(
+    rows = _open(files, header, body, IPHEX_FORMAT).rows(
         {"time": "Time", "tair": "Air_Temp", "frost": "FrostPoint", "pres": "STATIC_PR", "lat": "POS_Lat"}, sentinels=IPHEX_SENTINELS
     )
     return _stamp(rows, "tair", "frost", "pres", "lat")
@@ -734,8 +745,7 @@ def ingest_repeated_names(spark, d):
     header = [
         F.lit("Flight Date: 2008/Apr/3    Aircraft: CONVAIR"), F.lit("HH,MM,SS,ReHuI,RSTem,NPres,HH,MM"), F.lit("units"), F.lit("-----"),
     ]
-    lines = numbered_lines(_supplier_files(spark, d, "C", ".txt"), header, _line_rows(spark, d, "C", ".txt", line))
-    rows = open_lines(lines, ISDAC_FORMAT).rows(
+    rows = _open(_supplier_files(spark, d, "C", ".txt"), header, _line_rows(spark, d, "C", ".txt", line), ISDAC_FORMAT).rows(
         {"hh": "HH", "mm": "MM", "ss": "SS", "rh": "ReHuI", "tair": "RSTem", "pres": "NPres", "das_hh": "HH_1"},
         sentinels=ISDAC_SENTINELS,
     )
@@ -759,7 +769,7 @@ def ingest_best_header(spark, d):
     files = _supplier_files(spark, d, "E", ".ict").withColumn("file_name", name)
     body = _line_rows(spark, d, "E", ".ict", line).withColumn("file_name", name)
     wanted = {out: (lambda ns, k=k: N.three_tier(ns, k)) for out, k in ESCAPE_CANDIDATES.items()}
-    tables = open_lines(numbered_lines(files, header, body), ESCAPE_FORMAT)
+    tables = _open(files, header, body, ESCAPE_FORMAT)
     rows = tables.rows(wanted, quality=lambda ns: F.filter(ns, lambda n: F.lower(n).contains("flag")))
     rows = rows.filter(~F.exists("quality", lambda v: filters.flag_is_bad(v)))
     return _stamp(rows, "temp", "dew", "pres", "alt", "lat", "lon")

@@ -82,31 +82,21 @@ def dotted_comma_names(line: Column) -> Column:
 
 # ------------------------------------------------------------------- dates
 
-def _whole(text: Column) -> Column:
-    return F.when(F.trim(text).rlike(r"^[+-]?\d{1,9}$"), F.trim(text).try_cast("int"))
-
-
 def date_from_blank_line(header: Column, file_name: Column, metadata: Column) -> Column:
     """First header line that starts with ``YYYY MM DD``."""
-    pattern = r"^\s*(\d{4})\s+(\d{2})\s+(\d{2})"
+    pattern = r"^\s*(\d{4})\s+(\d{2})\s+(\d{2}).*$"
     line = N.first_where(header, lambda l: l.rlike(pattern))
-    return F.try_to_date(
-        F.concat_ws("-", *[F.regexp_extract(line, pattern, i) for i in (1, 2, 3)]), "yyyy-MM-dd"
-    )
+    return F.try_to_date(F.regexp_replace(line, pattern, "$1-$2-$3"), "yyyy-MM-dd")
 
 
 def date_from_comma_line(header: Column, file_name: Column, metadata: Column) -> Column:
-    """First header line whose first three comma fields are a plausible year, month and day."""
-
-    def field(line: Column, i: int) -> Column:
-        return _whole(F.get(F.split(line, ","), F.lit(i)))
+    """First header line whose first three comma fields are a plausible year, month and day.
 
-    def plausible(line: Column) -> Column:
-        y, m, d = field(line, 0), field(line, 1), field(line, 2)
-        return F.coalesce((y > 1990) & (y < 2100) & m.between(1, 12) & d.between(1, 31), F.lit(False))
-
-    line = N.first_where(header, plausible)
-    return F.try_to_date(F.concat_ws("-", *[field(line, i).cast("string") for i in range(3)]), "y-M-d")
+    Plausible: 1991 to 2099, 1 to 12, 1 to 31.
+    """
+    pattern = r"^\s*0*(199[1-9]|20\d\d)\s*,\s*0*(1[0-2]|[1-9])\s*,\s*0*(3[01]|[12]\d|[1-9])\s*(,.*)?$"
+    line = N.first_where(header, lambda l: l.rlike(pattern))
+    return F.try_to_date(F.regexp_replace(line, pattern, "$1-$2-$3"), "y-M-d")
 
 
 def date_from_name(pattern: str, layout: str) -> Callable[[Column, Column, Column], Column]:
@@ -120,18 +110,9 @@ def date_from_name(pattern: str, layout: str) -> Callable[[Column, Column, Colum
 
 def date_from_text(header: Column, file_name: Column, metadata: Column) -> Column:
     """First ``Flight Date: 2008/Mar/31`` in the header, any case."""
-    pattern = r"(?i)flight\s+date\s*:\s*(\d{4})/(\w{3})/(\d{1,2})"
-    hits = F.filter(
-        F.transform(
-            header,
-            lambda l: F.try_to_date(
-                F.concat_ws("-", F.regexp_extract(l, pattern, 1), F.initcap(F.regexp_extract(l, pattern, 2)), F.regexp_extract(l, pattern, 3)),
-                "y-MMM-d",
-            ),
-        ),
-        lambda d: d.isNotNull(),
-    )
-    return F.get(hits, F.lit(0))
+    pattern = r"(?i)flight\s+date\s*:\s*(\d{4}/\w{3}/\d{1,2})"
+    dates = F.transform(header, lambda l: F.try_to_date(F.initcap(F.regexp_extract(l, pattern, 1)), "y/MMM/d"))
+    return N.first_where(dates, lambda d: d.isNotNull())
 
 
 def date_from_name_or_metadata(pattern: str, layout: str, keys: Sequence[str]) -> Callable[[Column, Column, Column], Column]:

@@ -20,6 +20,9 @@ FILE_BAD_WORDS = (
 )
 FILE_FALSE_WORDS = ("0", "false", "no", "f")
 
+#: room for a line number below the width of a header candidate
+POSITION_SPAN = 1 << 40
+
 
 def header_count(first_line: Column) -> Column:
     """Number of header lines stated at the start of line 1."""
@@ -32,9 +35,13 @@ def column_count(line: Column) -> Column:
 
 
 def widest_key(rule: WidestHeader, line: Column, position: Column) -> Column:
-    """Sort key of a header candidate; NULL for other lines."""
+    """Width and position of a header candidate as one ordered number; NULL for other lines."""
     fits = line.contains(rule.marker) & (column_count(line) >= rule.least_columns)
-    return F.when(fits, F.struct(column_count(line).alias("width"), position.cast("bigint").alias("at")))
+    return F.when(fits, column_count(line).cast("bigint") * F.lit(POSITION_SPAN) + position.cast("bigint"))
+
+
+def widest_position(key: Column) -> Column:
+    return F.pmod(key, F.lit(POSITION_SPAN)).cast("int")
 
 
 def header_position(fmt: TableFormat, lines: Column) -> Column:
@@ -45,8 +52,7 @@ def header_position(fmt: TableFormat, lines: Column) -> Column:
     if isinstance(rule, ScannedHeader):
         at = F.array_position(F.transform(lines, rule.test), F.lit(True))
         return F.when(at > 0, at.cast("int") - 1)
-    best = F.array_max(F.transform(lines, lambda l, i: widest_key(rule, l, i)))
-    return best["at"].cast("int")
+    return widest_position(F.array_max(F.transform(lines, lambda l, i: widest_key(rule, l, i))))
 
 
 def data_offset(fmt: TableFormat) -> int:
@@ -59,17 +65,13 @@ def key_value_metadata(header: Column) -> Column:
 
     def entry(line: Column) -> Column:
         text = F.trim(line)
-        colon = F.locate(":", text)
-        parts = F.transform(F.split(text, ","), lambda p: F.trim(p))
-        first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-        key = clean_name(F.when(colon > 0, F.substring_index(text, ":", 1)).otherwise(first))
-        value = F.when(colon > 0, F.trim(F.substr(text, colon + 1))).otherwise(
-            F.concat_ws(", ", F.slice(parts, F.lit(2), F.size(parts)))
-        )
-        usable = (colon > 0) | (
-            F.size(parts).between(2, 4) & (first != "") & (second != "") & ~key.contains("Time_Start")
-        )
-        return F.when(usable, F.struct(key.alias("key"), value.alias("value")))
+        colon, comma = F.locate(":", text), F.locate(",", text)
+        rest = F.trim(F.substr(text, F.when(colon > 0, colon).otherwise(comma) + 1))
+        key = clean_name(F.left(text, F.when(colon > 0, colon).otherwise(comma) - 1))
+        value = F.when(colon > 0, rest).otherwise(F.regexp_replace(rest, r"\s*,\s*", ", "))
+        n_commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+        listed = n_commas.between(1, 3) & ~rest.startswith(",") & ~key.contains("Time_Start")
+        return F.when((colon > 0) | listed, F.struct(key.alias("key"), value.alias("value")))
 
     def put(seen: Column, e: Column) -> Column:
         others = F.map_filter(seen, lambda k, _: k != e["key"])

@@ -25,11 +25,14 @@ from ..functions.numeric import to_number
 from ..operators.project import union_all
 from . import files as file_source
 from .formats import CountedHeader, ScannedHeader, TableFormat
-from .layout import data_offset, header_count, header_position, widest_key, with_layout
+from .layout import data_offset, header_count, header_position, widest_key, widest_position, with_layout
 
 #: a stated header longer than this is an error of the file, not a header
 MAX_HEADER_LINES = 10_000
 
+#: per-file rows are broadcast up to this many files, otherwise Spark chooses at run time
+BROADCAST_FILES = 10_000
+
 #: a wanted column: its name, or an expression over the file's ``names``
 Wanted = str | Callable[[Column], Column]
 
@@ -42,24 +45,31 @@ def _add_header(df: DataFrame, fmt: TableFormat) -> DataFrame:
     return df.withColumn("_h", h).withColumn("header", F.slice("lines", F.lit(1), F.coalesce(F.col("_h") + 1, F.lit(0))))
 
 
-def _header_of_lines(lines: DataFrame, fmt: TableFormat) -> DataFrame:
+def _small(df: DataFrame, n_files: int | None) -> DataFrame:
+    """Per-file rows for a join: broadcast if the number of files is known to be small."""
+    return F.broadcast(df) if n_files is not None and n_files <= BROADCAST_FILES else df
+
+
+def _header_of_lines(lines: DataFrame, fmt: TableFormat, n_files: int | None) -> DataFrame:
     """``path, file_name, _h, header`` of files given as numbered lines.
 
-    The position of the header comes from mergeable aggregates; only lines up
-    to it, at most ``MAX_HEADER_LINES``, are gathered per file.
+    The position of the header comes from one mergeable number per file; only
+    lines up to it, at most ``MAX_HEADER_LINES``, are gathered per file.
     """
     rule, number, value = fmt.header, F.col("line_no"), F.col("value")
+    files = lines
     if isinstance(rule, CountedHeader):
-        at = F.max(F.when(number == 0, header_count(value) - 1))
+        files, at = lines.filter(number == 0), F.max(header_count(value) - 1)
     elif isinstance(rule, ScannedHeader):
         at = F.min(F.when(rule.test(value), number))
     else:
-        at = F.max(widest_key(rule, value, number))["at"]
-    # only line 0 and candidate lines matter for the position
-    found = lines.groupBy("path").agg(F.max("file_name").alias("file_name"), at.cast("int").alias("_h"))
+        at = widest_position(F.max(widest_key(rule, value, number)))
+    found = files.groupBy("path", "file_name").agg(at.cast("int").alias("_h"))
     found = found.withColumn("_h", F.when(F.col("_h").between(0, MAX_HEADER_LINES - 1), F.col("_h")))
-    upper = lines.filter(number < MAX_HEADER_LINES).join(found.select("path", "_h"), "path").filter(number <= F.col("_h"))
-    gathered = upper.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("_top"))
+    top = lines.filter(number < MAX_HEADER_LINES).join(_small(found.select("path", "_h"), n_files), "path")
+    gathered = top.filter(number <= F.col("_h")).groupBy("path").agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("_top")
+    )
     return found.join(gathered, "path", "left").select(
         "path", "file_name", "_h", F.coalesce(F.col("_top.value"), F.array().cast("array<string>")).alias("header")
     )
@@ -73,6 +83,7 @@ class TextTables:
     whole: DataFrame | None        # layout columns and ``body ARRAY<STRING>``, one row per file
     split_layout: DataFrame | None  # layout columns and ``_h``, one row per file
     split_lines: DataFrame | None   # ``path, line_no, value``
+    split_files: int | None = None  # how many files those are, if known
 
     def only(self, condition: Column) -> TextTables:
         """The tables of the files that meet a condition on ``path``, ``file_name`` or ``names``."""
@@ -80,7 +91,7 @@ class TextTables:
         def kept(df: DataFrame | None) -> DataFrame | None:
             return None if df is None else df.filter(condition)
 
-        return TextTables(self.fmt, kept(self.whole), kept(self.split_layout), self.split_lines)
+        return TextTables(self.fmt, kept(self.whole), kept(self.split_layout), self.split_lines, self.split_files)
 
     def layouts(self) -> DataFrame:
         """One row per file: names, flight date, metadata, scales, flags, error."""
@@ -114,6 +125,7 @@ class TextTables:
             parts.append(rows)
         if self.split_layout is not None:
             usable = self.split_layout.filter(F.col("error").isNull()).select("*", *extra)
+            usable = _small(usable.drop("header"), self.split_files)
             lines = self.split_lines.select("path", "line_no", "value").join(usable, "path")
             start = F.col("_h") + data_offset(self.fmt)
             rows = lines.filter(F.col("line_no") >= start).select(
@@ -192,13 +204,18 @@ class TextTables:
         )
 
 
-def open_lines(lines: DataFrame, fmt: TableFormat) -> TextTables:
+def _of_lines(lines: DataFrame, fmt: TableFormat, n_files: int | None, whole: DataFrame | None = None) -> TextTables:
+    layout = with_layout(_header_of_lines(lines, fmt, n_files), fmt).select(*_LAYOUT, "_h")
+    return TextTables(fmt, whole, layout, lines, n_files)
+
+
+def open_lines(lines: DataFrame, fmt: TableFormat, n_files: int | None = None) -> TextTables:
     """Tables given as lines ``path, file_name, line_no, value`` numbered from 0.
 
     Numbers must grow down a file; only those of the header must be gapless.
+    ``n_files``: the number of files, if the caller has counted them.
     """
-    layout = with_layout(_header_of_lines(lines, fmt), fmt).select(*_LAYOUT, "_h")
-    return TextTables(fmt, None, layout, lines)
+    return _of_lines(lines, fmt, n_files)
 
 
 def open_files(
@@ -212,7 +229,8 @@ def open_files(
 ) -> TextTables:
     """Tables in the files below ``path``; no matching file is an error."""
     listed = file_source.list_files(spark, path, pattern, recursive, exclude)
-    sizes = listed.agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("largest")).first()
+    large = F.count_if(F.col("length") > whole_limit)
+    sizes = listed.agg(F.count(F.lit(1)).alias("n"), large.alias("n_large")).first()
     if not sizes["n"]:
         raise FileNotFoundError(f"no files matching '{pattern}' under {path}")
 
@@ -220,8 +238,7 @@ def open_files(
     start = F.col("_h") + data_offset(fmt) + 1
     body = F.slice("lines", F.coalesce(start, F.lit(1)), F.size("lines"))
     whole = with_layout(whole, fmt).select(*_LAYOUT, body.alias("body"))
-    if sizes["largest"] <= whole_limit:
+    if not sizes["n_large"]:
         return TextTables(fmt, whole, None, None)
     lines = file_source.read_split_lines(spark, path, pattern, recursive, exclude, whole_limit)
-    layout = with_layout(_header_of_lines(lines, fmt), fmt).select(*_LAYOUT, "_h")
-    return TextTables(fmt, whole, layout, lines)
+    return _of_lines(lines, fmt, sizes["n_large"], whole)
