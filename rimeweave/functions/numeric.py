@@ -20,14 +20,21 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) < num(float("inf"))), value)
 
 
-def to_number(text: Column) -> Column:
-    """Text to DOUBLE; anything that is not a finite number becomes NULL.
+def parse_double(trimmed: Column) -> Column:
+    """Trimmed text to DOUBLE, NULL if it is no number; too large a number is infinite.
 
-    The look at both ends of the text keeps words away from the parser, where
-    each would cost an exception, and so does with a type suffix ("12d"), which
-    the JVM parser would accept.
+    A look at the first and last character keeps words away from the parser,
+    where each would cost an exception, and so does with a type suffix ("12d"),
+    which the JVM parser would accept.
     """
-    return F.when(text.rlike(r"^\s*[-+]?[0-9.](.*[0-9.])?\s*$"), finite(text.try_cast("double")))
+    first, last = F.ascii(trimmed), F.ascii(F.right(trimmed, F.lit(1)))
+    # first: digit, sign or point; last: digit or point (',' and '/' fail in the parser)
+    return F.when(first.between(43, 57) & last.between(46, 57), trimmed.try_cast("double"))
+
+
+def to_number(text: Column) -> Column:
+    """Text to DOUBLE; anything that is not a finite number becomes NULL."""
+    return finite(parse_double(F.trim(text)))
 
 
 def affine(raw: Column, scale: float, offset: float = 0.0) -> Column:

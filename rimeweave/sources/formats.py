@@ -53,6 +53,12 @@ class TableFormat:
     def tokens(self, line: Column) -> Column:
         return F.split(F.trim(line), r"\s+") if self.blank_separated else F.split(line, ",")
 
+    def cell_count(self, line: Column) -> Column:
+        """Number of cells without building them."""
+        if self.blank_separated:
+            return F.regexp_count(line, F.lit(r"\S+"))
+        return F.length(line) - F.length(F.replace(line, F.lit(","), F.lit(""))) + 1
+
 
 # ------------------------------------------------------------------- names
 

@@ -20,8 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.masks import drop_flags
-from ..functions.numeric import to_number
+from ..functions import masks, numeric
 from ..operators.project import union_all
 from . import files as file_source
 from .formats import CountedHeader, ScannedHeader, TableFormat
@@ -133,12 +132,16 @@ class TextTables:
                 (F.col("line_no") - start).alias("line_no"), "value",
             )
             parts.append(rows)
-        filled = union_all(parts).filter(F.trim("value") != "")
-        return filled.withColumn("_tokens", self.fmt.tokens(F.col("value")))
+        return union_all(parts).filter(F.trim("value") != "")
 
     def corrupt_rows(self) -> DataFrame:
         """Rows with more cells than names."""
-        return self._lines({}).filter(F.size("_tokens") > F.size("names")).select("path", "file_name", "line_no", "value")
+        rows = self._lines({}).filter(self.fmt.cell_count(F.col("value")) > F.size("names"))
+        return rows.select("path", "file_name", "line_no", "value")
+
+    def _tokens(self, carry: Mapping[str, Column]) -> DataFrame:
+        rows = self._lines(carry).filter(self.fmt.cell_count(F.col("value")) <= F.size("names"))
+        return rows.withColumn("_tokens", self.fmt.tokens(F.col("value")))
 
     def rows(
         self,
@@ -166,39 +169,40 @@ class TextTables:
         if quality is not None:
             picked = quality(F.col("names"))
             position["_at_quality"] = F.transform(picked, lambda n: (F.array_position("names", n) - 1).cast("int"))
-        lines = self._lines({**carry, **position}).filter(F.size("_tokens") <= F.size("names"))
-        flags = tuple(sentinels)
-        verdicts = []
+        rows = self._tokens({**carry, **position})
+        fixed = [
+            F.col("file_name").alias("source_file"), F.col("line_no").cast("bigint").alias("row_no"), "flight_date",
+            "scales", "flags", *carry, *position,
+        ]
         if quality is not None:
-            verdicts = [F.transform("_at_quality", lambda i: F.trim(F.get("_tokens", i))).alias("quality")]
-
-        def cell(out: str) -> Column:
-            return F.get("_tokens", F.col(f"_at_{out}"))
-
-        def number(out: str) -> Column:
-            value = to_number(cell(out))
-            at = F.col(f"_at_{out}")
+            fixed.append(F.transform("_at_quality", lambda i: F.trim(F.get("_tokens", i))).alias("quality"))
+        # cell text, number and masked number are steps of their own: as one
+        # expression the text would be fetched and parsed once per mention
+        rows = rows.select(*fixed, *[F.trim(F.get("_tokens", F.col(f"_at_{o}"))).alias(o) for o in {**numbers, **texts}])
+        rows = rows.withColumns({o: numeric.parse_double(F.col(o)) for o in numbers})
+        sentinel_values = tuple(sentinels)
+
+        def masked(out: str) -> Column:
+            value, at = F.col(out), F.col(f"_at_{out}")
             if self.fmt.missing_line is not None:
-                flag = F.get("flags", at)
-                value = F.when(flag.isNull() | (value != flag), value)
+                value = masks.drop_header_flag(value, F.get("flags", at))
             if self.fmt.scale_line is not None:
                 value = value * F.coalesce(F.get("scales", at), F.lit(1.0))
-            return value if out in unmasked else drop_flags(value, flags)
+            value = F.when(F.abs(value) < F.lit(float("inf")), value)
+            return value if out in unmasked else masks.drop_flags(value, sentinel_values)
 
-        return lines.select(
-            F.col("file_name").alias("source_file"), F.col("line_no").cast("bigint").alias("row_no"), "flight_date",
-            *carry,
-            *[number(o).alias(o) for o in numbers],
-            *[F.trim(cell(o)).alias(o) for o in texts],
-            *verdicts,
+        verdicts = ["quality"] if quality is not None else []
+        return rows.select(
+            "source_file", "row_no", "flight_date", *carry, *[masked(o).alias(o) for o in numbers], *texts, *verdicts
         )
 
     def cells(self, sentinels: Iterable[float] = ()) -> DataFrame:
         """Every number of every row as ``cells MAP<STRING,DOUBLE>``, for files without known names."""
         flags = tuple(sentinels)
-        lines = self._lines({}).filter(F.size("_tokens") <= F.size("names"))
-        padded = F.transform("names", lambda n, i: drop_flags(to_number(F.get("_tokens", i)), flags))
-        return lines.select(
+        parsed = F.transform("_tokens", numeric.to_number)
+        rows = self._tokens({}).withColumn("_numbers", parsed)
+        padded = F.transform("names", lambda n, i: masks.drop_flags(F.get("_numbers", i), flags))
+        return rows.select(
             F.col("file_name").alias("source_file"), F.col("line_no").cast("bigint").alias("row_no"), "flight_date",
             F.map_from_arrays("names", padded).alias("cells"),
         )
