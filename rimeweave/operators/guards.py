@@ -80,14 +80,29 @@ def _side_aggregates(value: Column, t: Threshold, name: str) -> list[Column]:
     ]
 
 
-def _passes(t: Threshold, count: Column, name: str) -> Column:
+def _passes(t: Threshold, count: Column, below: Column, lo: Column, hi: Column) -> Column:
     """Whether the median lies above the threshold; NULL-free, false for an empty group."""
-    twice = F.col(f"{name}_n") * F.lit(2)
-    middle = (F.col(f"{name}_lo") + F.col(f"{name}_hi")) / num(2)
+    twice, middle = below * F.lit(2), (lo + hi) / num(2)
     at_middle = middle >= num(t.at) if t.inclusive else middle > num(t.at)
     return F.coalesce((twice < count) | ((twice == count) & (count > 0) & at_middle), F.lit(False))
 
 
+def _passes_aggregated(t: Threshold, count: Column, name: str) -> Column:
+    return _passes(t, count, F.col(f"{name}_n"), F.col(f"{name}_lo"), F.col(f"{name}_hi"))
+
+
+def _passes_array(t: Threshold, values: Column) -> Column:
+    below = F.filter(values, lambda v: _split(v, t)[0])
+    above = F.filter(values, lambda v: _split(v, t)[1])
+    return _passes(t, F.size(values), F.size(below), F.array_max(below), F.array_min(above))
+
+
+def array_verdict(guard: Guard, values: Column) -> Column:
+    """The verdict of a guard on a group that is at hand as an array without NULLs."""
+    verdict = _passes_array(guard.above, values)
+    return verdict & ~_passes_array(guard.beyond, values) if guard.beyond is not None else verdict
+
+
 def guard_verdicts(df: DataFrame, guards: Sequence[Guard], group: Sequence[str]) -> DataFrame:
     """One row per group with a boolean ``_fix_<i>`` per guard."""
     aggregates: list[Column] = []
@@ -97,10 +112,10 @@ def guard_verdicts(df: DataFrame, guards: Sequence[Guard], group: Sequence[str])
         count = F.col(f"_g{i}_count")
         aggregates.append(F.count(value).alias(f"_g{i}_count"))
         aggregates += _side_aggregates(value, g.above, f"_g{i}_a")
-        verdict = _passes(g.above, count, f"_g{i}_a")
+        verdict = _passes_aggregated(g.above, count, f"_g{i}_a")
         if g.beyond is not None:
             aggregates += _side_aggregates(value, g.beyond, f"_g{i}_b")
-            verdict = verdict & ~_passes(g.beyond, count, f"_g{i}_b")
+            verdict = verdict & ~_passes_aggregated(g.beyond, count, f"_g{i}_b")
         verdicts.append(verdict.alias(f"_fix_{i}"))
     keyed = df.groupBy(*group) if group else df.groupBy()
     return keyed.agg(*aggregates).select(*group, *verdicts)
@@ -117,30 +132,31 @@ def apply_guards(
     ``forced`` maps a guarded column to a row predicate that converts it
     whatever the median says.
     """
-    forced = forced or {}
     verdicts = guard_verdicts(df, guards, group)
     names = [f"_fix_{i}" for i in range(len(guards))]
-    if group:
-        keys = [f"_k{i}" for i in range(len(group))]
-        verdicts = verdicts.select(*[F.col(g).alias(k) for g, k in zip(group, keys)], *names)
-        condition = F.lit(True)
-        for g, k in zip(group, keys):
-            condition = condition & F.col(g).eqNullSafe(F.col(k))
-        joined = df.join(verdicts, condition, "left")
-        fixes = [F.coalesce(F.col(n), F.lit(False)) for n in names]
-    else:
-        joined = df
+    if not group:
         whole = verdicts.select(F.struct(*names)).scalar()
-        fixes = [F.coalesce(whole.getField(n), F.lit(False)) for n in names]
-
+        return convert(df, guards, [whole.getField(n) for n in names], forced)
+    keys = [f"_k{i}" for i in range(len(group))]
+    verdicts = verdicts.select(*[F.col(g).alias(k) for g, k in zip(group, keys)], *names)
+    condition = F.lit(True)
+    for g, k in zip(group, keys):
+        condition = condition & F.col(g).eqNullSafe(F.col(k))
+    joined = df.join(verdicts, condition, "left")
+    return convert(joined, guards, [F.col(n) for n in names], forced).select(*df.columns)
+
+
+def convert(
+    df: DataFrame, guards: Sequence[Guard], verdicts: Sequence[Column], forced: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Apply the conversions of guards whose verdicts are known."""
+    forced = forced or {}
     converted: dict[str, Column] = {}
-    for g, fix in zip(guards, fixes):
-        value = F.col(g.column)
+    for g, verdict in zip(guards, verdicts):
+        value, fix = F.col(g.column), F.coalesce(verdict, F.lit(False))
         if g.column in forced:
             fix = fix | F.coalesce(forced[g.column], F.lit(False))
         yes = CONVERSIONS[g.repair](value) if g.repair else value
         no = CONVERSIONS[g.otherwise](value) if g.otherwise else value
         converted[g.column] = F.when(fix, yes).otherwise(no)
-    return joined.select(
-        *[converted[c].alias(c) if c in converted else F.col(f"`{c}`") for c in df.columns]
-    )
+    return df.withColumns(converted)

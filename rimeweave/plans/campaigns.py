@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -212,9 +213,13 @@ class Refinement:
     group: Sequence[str] = ("source_file",)
 
 
-def refine(df: DataFrame, rules: Refinement, forced: Mapping[str, Column] | None = None) -> DataFrame:
-    fixed = guards.apply_guards(df, rules.guards, rules.group, forced)
-    return fixed.withColumns({c: masks.keep_range(F.col(c), *r) for c, r in rules.ranges.items() if c in df.columns})
+def refine(df: DataFrame, rules: Refinement) -> DataFrame:
+    """Guards by group, then ranges."""
+    return in_range(guards.apply_guards(df, rules.guards, rules.group), rules)
+
+
+def in_range(df: DataFrame, rules: Refinement) -> DataFrame:
+    return df.withColumns({c: masks.keep_range(F.col(c), *r) for c, r in rules.ranges.items() if c in df.columns})
 
 
 _GEO = {"lat": (-90.0, 90.0), "lon": (-180.0, 180.0), "alt": (-500.0, 25000.0)}
@@ -244,7 +249,7 @@ def iphex(spark: SparkSession, spec: CampaignSpec) -> DataFrame:
         "time": "Time", "tair": "Air_Temp", "frost": "FrostPoint", "pres": "STATIC_PR",
         "lat": "POS_Lat", "lon": "POS_Lon", "alt": "POS_Alt",
     }
-    df = refine(tables.rows(wanted, sentinels=IPHEX_SENTINELS), IPHEX_RULES)
+    df = in_range(tables.guarded_rows(wanted, IPHEX_RULES.guards, IPHEX_SENTINELS), IPHEX_RULES)
     df = df.withColumn("frost", masks.drop_if_above(F.col("frost"), F.col("tair"), FROST_MARGIN))
     si = thermo.si_from_frost_point_tetens(F.col("frost"), F.col("tair"))
     return _standard(_timestamp(df.withColumn("Si", masks.keep_range(si, *SI_RANGE)), "time"), spec, "tair")
@@ -256,7 +261,7 @@ def isdac(spark: SparkSession, spec: CampaignSpec) -> DataFrame:
         "hh": "HH", "mm": "MM", "ss": "SS", "tair": "RSTem", "pres": "NPres", "rh": "ReHuI", "frost": "LicFro",
         "lat": "MastrLAT", "lon": "MasterLON", "alt": "PreAlt",
     }
-    df = refine(tables.rows(wanted, sentinels=ISDAC_SENTINELS), ISDAC_RULES)
+    df = in_range(tables.guarded_rows(wanted, ISDAC_RULES.guards, ISDAC_SENTINELS), ISDAC_RULES)
     df = df.withColumns(
         {
             "Si": masks.keep_range(thermo.si_from_rh(F.col("rh")), *SI_RANGE),
@@ -266,7 +271,7 @@ def isdac(spark: SparkSession, spec: CampaignSpec) -> DataFrame:
     return _standard(df, spec, "tair")
 
 
-def _quality_positions(names: Column) -> Column:
+def _quality_names(names: Column) -> Column:
     def is_quality(name: Column) -> Column:
         found = F.lit(False)
         for token in filters.QUALITY_COLUMN_TOKENS:
@@ -282,12 +287,10 @@ def escape(spark: SparkSession, spec: CampaignSpec) -> DataFrame:
     alt_key = F.lower(N.clean_name(N.three_tier(F.col("names"), ESCAPE_CANDIDATES["alt"])))
     told_feet = F.lower(F.concat_ws(" ", F.map_values("metadata"))).contains("feet")
     in_feet = alt_key.contains("ft") | alt_key.contains("feet") | (alt_key.contains("palt") & told_feet)
-    df = tables.rows(
-        wanted, sentinels=ESCAPE_SENTINELS, carry={"in_feet": in_feet}, quality=_quality_positions
+    df = tables.guarded_rows(
+        wanted, ESCAPE_RULES.guards, ESCAPE_SENTINELS, forced={"alt": in_feet}, quality=_quality_names
     )
-    # the median test must not see rows that a quality flag removes
-    df = df.filter(~F.exists("quality", lambda v: filters.flag_is_bad(v, ESCAPE_SENTINELS)))
-    df = refine(df, ESCAPE_RULES, forced={"alt": F.col("in_feet")})
+    df = in_range(df, ESCAPE_RULES)
     si = thermo.si_from_frost_point(F.col("dew"), F.col("temp"))
     return _standard(_timestamp(df.withColumn("Si", masks.keep_range(si, *SI_RANGE)), "time"), spec, "temp")
 
@@ -337,8 +340,12 @@ class Instruments:
         prefix = self.prefix_of(instrument)
         return {N.with_prefix(n, prefix): n for n in self.names[instrument]}
 
-    def stream(self, instrument: str, merged: Sequence[str]) -> DataFrame:
-        """Rows of one instrument: time stamp and the wanted columns that it has."""
+    def stream(self, instrument: str, merged: Sequence[str], staging: str | None) -> DataFrame:
+        """Rows of one instrument: time stamp and the wanted columns that it has.
+
+        The joins read a stream more than once.  With a ``staging`` folder it is
+        parsed once and kept there as parquet.
+        """
         mine = self._merged(instrument)
         wanted: dict = {m: mine[m] for m in merged if m in mine}
         tables = self.tables.only(self.instrument == F.lit(instrument))
@@ -346,18 +353,26 @@ class Instruments:
             {**wanted, "_seconds": self.time_of(instrument)}, sentinels=self.sentinels,
             unmasked=() if self.mask_time else ("_seconds",),
         )
-        return rows.select(
+        rows = rows.select(
             clock.seconds_after(F.col("flight_date"), F.col("_seconds")).alias("Timestamp"), "source_file", "row_no",
             *[F.col(f"`{m}`") for m in wanted],
         )
-
-    def merge(self, merged: Sequence[str], tolerance: float) -> DataFrame:
+        if not staging:
+            return rows
+        place = f"{staging}/{instrument}"
+        # parquet names may not hold some of the characters that columns have
+        plain = [f"c{i}" for i in range(len(rows.columns))]
+        rows.toDF(*plain).write.mode("overwrite").parquet(place)
+        return rows.sparkSession.read.parquet(place).toDF(*rows.columns)
+
+    def merge(self, merged: Sequence[str], options: Mapping[str, Any]) -> DataFrame:
         """All instruments on the times of the first one.
 
         Only the wanted columns enter the joins: a name that nobody uses is
         never read out of its file.
         """
-        streams = {i: self.stream(i, merged) for i in self.order}
+        tolerance, staging = options.get("tolerance", INSTRUMENT_TOLERANCE), options.get("staging_path")
+        streams = {i: self.stream(i, merged, staging) for i in self.order}
         primary = streams.pop(self.order[0])
         return nearest_asof_fold(primary, streams, "Timestamp", tolerance, tiebreak=["source_file", "row_no"])
 
@@ -416,7 +431,7 @@ def attrex_merged(spark: SparkSession, spec: CampaignSpec) -> DataFrame:
     other = noaa if first == dlh else dlh
     place = _position_names(names)
     wanted = [n for n in dict.fromkeys([raw_t, raw_p, plain_t, plain_p, first, other, *place.values()]) if n]
-    df = inst.merge(wanted, spec.options.get("tolerance", INSTRUMENT_TOLERANCE))
+    df = inst.merge(wanted, spec.options)
 
     kelvin = numeric.affine(_maybe(raw_t), RAW_TEMPERATURE_SCALE) if raw_t else _maybe(plain_t)
     hpa = numeric.affine(_maybe(raw_p), RAW_PRESSURE_SCALE["ATTREX"]) if raw_p else _maybe(plain_p)
@@ -474,7 +489,7 @@ def macpex_merged(spark: SparkSession, spec: CampaignSpec) -> DataFrame:
         for (o, c), t in zip(MACPEX_POSITION.items(), ("lat", "lon", "alt"))
     }
     wanted = [n for n in dict.fromkeys([*raw.values(), *vapour.values(), *place.values()]) if n]
-    df = inst.merge(wanted, spec.options.get("tolerance", INSTRUMENT_TOLERANCE))
+    df = inst.merge(wanted, spec.options)
 
     def scaled(name: str | None, scale: float, bounds: tuple[float, float]) -> Column:
         value = masks.drop_scaled_flags(numeric.affine(_maybe(name), scale), MACPEX_SENTINELS, scale)
@@ -525,7 +540,7 @@ def posidon(spark: SparkSession, spec: CampaignSpec) -> DataFrame:
         "lat": "MMS-1HZ_G_LAT", "lon": "MMS-1HZ_G_LONG", "alt": "MMS-1HZ_G_ALT",
     }
     have = {k: c if c in names else None for k, c in column.items()}
-    df = inst.merge([c for c in have.values() if c], spec.options.get("tolerance", INSTRUMENT_TOLERANCE))
+    df = inst.merge([c for c in have.values() if c], spec.options)
     kelvin = numeric.affine(_maybe(have["t"]), RAW_TEMPERATURE_SCALE)
     hpa = numeric.affine(_maybe(have["p"]), RAW_PRESSURE_SCALE["POSIDON"])
     si = masks.clip(thermo.si_from_ppmv(_maybe(have["q"]), kelvin, hpa, bound_temperature=False), -1, 1)

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import masks, numeric
+from ..operators import filters, guards as unit_guards
 from ..operators.project import union_all
 from . import files as file_source
 from .formats import CountedHeader, ScannedHeader, TableFormat
@@ -113,17 +114,16 @@ class TextTables:
         return [(r["group"], list(r["names"])) for r in seen.orderBy("_first").collect()]
 
     def _lines(self, carry: Mapping[str, Column]) -> DataFrame:
-        extra = [c.alias(n) for n, c in carry.items()]
         parts = []
         if self.whole is not None:
-            usable = self.whole.filter(F.col("error").isNull()).select("*", *extra)
+            usable = self.whole.filter(F.col("error").isNull()).withColumns(dict(carry))
             rows = usable.select(
                 "path", "file_name", "names", "flight_date", "metadata", "scales", "flags", *carry,
                 F.posexplode("body").alias("line_no", "value"),
             )
             parts.append(rows)
         if self.split_layout is not None:
-            usable = self.split_layout.filter(F.col("error").isNull()).select("*", *extra)
+            usable = self.split_layout.filter(F.col("error").isNull()).withColumns(dict(carry))
             usable = _small(usable.drop("header"), self.split_files)
             lines = self.split_lines.select("path", "line_no", "value").join(usable, "path")
             start = F.col("_h") + data_offset(self.fmt)
@@ -196,6 +196,68 @@ class TextTables:
             "source_file", "row_no", "flight_date", *carry, *[masked(o).alias(o) for o in numbers], *texts, *verdicts
         )
 
+    def guarded_rows(
+        self,
+        numbers: Mapping[str, Wanted],
+        guards: Sequence[unit_guards.Guard],
+        sentinels: Iterable[float] = (),
+        forced: Mapping[str, Column] | None = None,
+        quality: Callable[[Column], Column] | None = None,
+    ) -> DataFrame:
+        """Rows with units repaired per file, and without rows a quality cell marks bad.
+
+        A file that is one row finds its medians right there, before its lines
+        become rows: no shuffle and no second scan.  Files read split by split
+        take the aggregate-and-join form of the guards.  ``forced`` maps a
+        guarded column to an expression over the file's layout.
+        """
+        sentinels = tuple(sentinels)
+        forced = dict(forced or {})
+        force_flags = {f"_force_{c}": v for c, v in forced.items()}
+        forced_rows = {c: F.col(f"_force_{c}") for c in forced}
+
+        def is_bad(cell: Column) -> Column:
+            return filters.flag_is_bad(cell, sentinels)
+
+        def kept(rows: DataFrame) -> DataFrame:
+            return rows.filter(~F.exists("quality", is_bad)).drop("quality") if quality is not None else rows
+
+        def usable_cells() -> Column:
+            """Tokens of the lines that become rows, before they do."""
+            fits = F.filter("body", lambda l: (F.trim(l) != "") & (self.fmt.cell_count(l) <= F.size("names")))
+            tokens = F.transform(fits, lambda l: self.fmt.tokens(l))
+            if quality is None:
+                return tokens
+            at = F.transform(quality(F.col("names")), lambda n: (F.array_position("names", n) - 1).cast("int"))
+            return F.filter(tokens, lambda t: ~F.exists(at, lambda i: is_bad(F.trim(F.get(t, i)))))
+
+        def file_values(wanted: Wanted) -> Column:
+            name = F.lit(wanted) if isinstance(wanted, str) else wanted(F.col("names"))
+            at = F.array_position("names", name)
+            at = F.when(at > 0, at.cast("int") - 1)
+            texts = F.transform("_cells", lambda t: F.trim(F.get(t, at)))
+            parsed = F.transform(texts, numeric.parse_double)
+            finite = F.transform(parsed, lambda v: F.when(F.abs(v) < F.lit(float("inf")), v))
+            return F.filter(F.transform(finite, lambda v: masks.drop_flags(v, sentinels)), lambda v: v.isNotNull())
+
+        wanted_columns = ["source_file", "row_no", "flight_date", *force_flags, *numbers]
+        parts = []
+        if self.whole is not None:
+            verdicts = {f"_fix_{i}": F.col(f"_fix_{i}") for i in range(len(guards))}
+            judged = self.whole.withColumn("_cells", usable_cells())
+            judged = judged.withColumns({f"_values_{i}": file_values(numbers[g.column]) for i, g in enumerate(guards)})
+            judged = judged.withColumns(
+                {f"_fix_{i}": unit_guards.array_verdict(g, F.col(f"_values_{i}")) for i, g in enumerate(guards)}
+            ).drop("_cells", *[f"_values_{i}" for i in range(len(guards))])
+            mine = TextTables(self.fmt, judged, None, None)
+            rows = kept(mine.rows(numbers, sentinels=sentinels, carry={**force_flags, **verdicts}, quality=quality))
+            parts.append(unit_guards.convert(rows, guards, list(verdicts.values()), forced_rows).select(*wanted_columns))
+        if self.split_layout is not None:
+            mine = TextTables(self.fmt, None, self.split_layout, self.split_lines, self.split_files)
+            rows = kept(mine.rows(numbers, sentinels=sentinels, carry=force_flags, quality=quality))
+            parts.append(unit_guards.apply_guards(rows, guards, ["source_file"], forced_rows).select(*wanted_columns))
+        return union_all(parts).drop(*force_flags)
+
     def cells(self, sentinels: Iterable[float] = ()) -> DataFrame:
         """Every number of every row as ``cells MAP<STRING,DOUBLE>``, for files without known names."""
         flags = tuple(sentinels)
