@@ -11,12 +11,19 @@ from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, functions as F
 
+from .text import strip
+
 
 # ---------------------------------------------------------------- in a query
 
+def strip_each(name: Column) -> Column:
+    """:func:`strip` as a one-argument step over an array."""
+    return strip(name)
+
+
 def clean_name(name: Column) -> Column:
     """Trim, turn runs of non-word characters into one underscore, strip underscores."""
-    return F.regexp_replace(F.regexp_replace(F.trim(name), r"(?U)[^\w]+", "_"), r"^_+|_+$", "")
+    return F.btrim(F.regexp_replace(strip(name), r"(?U)[^\w]+", "_"), F.lit("_"))
 
 
 def names_with_units(line: Column) -> Column:
@@ -27,12 +34,12 @@ def names_with_units(line: Column) -> Column:
 
 def split_names(line: Column, separator: str) -> Column:
     """Trimmed, non-empty names."""
-    return F.filter(F.transform(F.split(line, separator), lambda n: F.trim(n)), lambda n: n != "")
+    return F.filter(F.transform(F.split(line, separator), strip_each), lambda n: n != "")
 
 
 def unique_names(names: Column, joiner: str = "_") -> Column:
     """Second and later uses of a name get ``_1``, ``_2`` ...; empty becomes ``unnamed``."""
-    filled = F.transform(names, lambda n: F.when(F.trim(n) == "", F.lit("unnamed")).otherwise(F.trim(n)))
+    filled = F.transform(F.transform(names, strip_each), lambda n: F.when(n == "", F.lit("unnamed")).otherwise(n))
 
     def suffixed(name: Column, position: Column) -> Column:
         earlier = F.size(F.filter(F.slice(filled, F.lit(1), position), lambda other: other == name))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .text import strip
+
 
 def num(x: float) -> Column:
     """A DOUBLE literal (a bare SQL literal such as 0.01 would be DECIMAL)."""
@@ -34,7 +36,7 @@ def parse_double(trimmed: Column) -> Column:
 
 def to_number(text: Column) -> Column:
     """Text to DOUBLE; anything that is not a finite number becomes NULL."""
-    return finite(parse_double(F.trim(text)))
+    return finite(parse_double(strip(text)))
 
 
 def affine(raw: Column, scale: float, offset: float = 0.0) -> Column:

@@ -315,6 +315,10 @@ ORACLE |= {
         case when p_size % 2 = 0 then 'GPS_Lat' else 'PLATE' end as lat_name from part""",
 }
 
+ORACLE["header_instrument"] = f"""{OBS} select row_no,
+    case campaign when 'click' then 'DLH-H2O' when 'view' then 'MMS' when 'error' then 'NOAA-H2O' else 'OTHER' end as instrument,
+    case when campaign = 'error' then 'NOAAH2O_20140216' else source_file end as stem from obs"""
+
 # --------------------------------------------------------------------- ingestion
 _ROW = f"{AT} as row_no"
 _QTY = "case when l_linenumber <> 3 then l_quantity end"

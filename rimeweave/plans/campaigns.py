@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import clock, masks, names as N, numeric, thermo
-from ..functions.numeric import num
+from ..functions.text import strip
 from ..operators import align, filters, guards
 from ..operators.asof import nearest_asof, nearest_asof_fold
 from ..operators.project import joined_sources, standard_projection, union_all
@@ -41,7 +41,7 @@ POSITION_FORMAT = fm.TableFormat(
     blank_separated=True, fixed_names=POSITION_TABLE, date=fm.date_from_blank_line, scale_line=4, missing_line=5
 )
 IPHEX_FORMAT = fm.TableFormat(
-    header=fm.ScannedHeader(lambda l: F.trim(l).startswith("Time") & l.contains("Air_Temp"), skip=2),
+    header=fm.ScannedHeader(lambda l: strip(l).startswith("Time") & l.contains("Air_Temp"), skip=2),
     blank_separated=True,
     names=fm.blank_names,
     date=fm.date_from_name(r"^(\d+_\d+_\d+)[_.]", "y_M_d"),
@@ -49,7 +49,7 @@ IPHEX_FORMAT = fm.TableFormat(
     required=("FrostPoint", "Air_Temp", "STATIC_PR"),
 )
 ISDAC_FORMAT = fm.TableFormat(
-    header=fm.ScannedHeader(lambda l: F.trim(l).startswith("HH,MM,SS"), skip=3),
+    header=fm.ScannedHeader(lambda l: strip(l).startswith("HH,MM,SS"), skip=3),
     names=fm.unique_comma_names,
     date=fm.date_from_text,
     date_required=False,
@@ -66,9 +66,9 @@ ESCAPE_FORMAT = fm.TableFormat(
 
 # -------------------------------------------------------------------- helpers
 
-def _all_names(variants: Sequence[tuple[str, list[str]]]) -> list[str]:
+def _all_names(tables: TextTables) -> list[str]:
     """Columns of the combined frame: each name where it first appears."""
-    return list(dict.fromkeys(n for _, names in variants for n in names))
+    return tables.column_names().get("", [])
 
 
 def _position_names(names: Sequence[str], altitude: Sequence[str] = ("alt",)) -> dict[str, str]:
@@ -114,7 +114,7 @@ def arm(spark: SparkSession, spec: CampaignSpec) -> DataFrame:
 
 def mc3e(spark: SparkSession, spec: CampaignSpec) -> DataFrame:
     tables = open_files(spark, spec.path, NAMES_BEFORE_LAST, spec.glob)
-    position = _position_names(_all_names(tables.header_variants()))
+    position = _position_names(_all_names(tables))
     wanted = {"time": "Time", "tair": "Air_Temp", "frost": "FrostPoint", **position}
     df = _timestamp(tables.rows(wanted, sentinels=COMMON_SENTINELS), "time")
     df = df.withColumn("Si", thermo.si_from_frost_point(F.col("frost"), F.col("tair")))
@@ -123,7 +123,7 @@ def mc3e(spark: SparkSession, spec: CampaignSpec) -> DataFrame:
 
 def midcix(spark: SparkSession, spec: CampaignSpec) -> DataFrame:
     tables = open_files(spark, spec.path, NAMES_WITH_UNITS, spec.glob).only(_has_ut())
-    position = _position_names(_all_names(tables.header_variants()), ("alt", "z"))
+    position = _position_names(_all_names(tables), ("alt", "z"))
     wanted = {"time": _ut_name, "t_k": "T_K", "rh": "RH", **position}
     df = _timestamp(tables.rows(wanted, sentinels=COMMON_SENTINELS), "time")
     df = df.withColumns(
@@ -161,7 +161,7 @@ def crystal_face_nasa(spark: SparkSession, spec: CampaignSpec) -> DataFrame:
     }
     position_path = spec.options.get("position_path")
     if not position_path:
-        wanted.update(_position_names(_all_names(tables.header_variants()), ("alt", "z")))
+        wanted.update(_position_names(_all_names(tables), ("alt", "z")))
     df = _timestamp(tables.rows(wanted), "time").withColumns(
         {"Si": thermo.si_from_rh(F.col("rh")), "tair": numeric.kelvin_to_celsius(F.col("t_k"))}
     )
@@ -187,7 +187,7 @@ def crystal_face_und(spark: SparkSession, spec: CampaignSpec) -> DataFrame:
     tables = open_files(spark, spec.path, NAMES_BEFORE_LAST, spec.glob)
     humidity = tables.only(F.col("file_name").endswith("MIS.CIT"))
     weather = tables.only(F.col("file_name").endswith("MET.CIT"))
-    position = _position_names(_all_names(humidity.header_variants()))
+    position = _position_names(_all_names(humidity))
     left = _timestamp(humidity.rows({"time": "Time", "rh": "RH", **position}, sentinels=COMMON_SENTINELS), "time")
     left = left.withColumn("pair", F.col("source_file"))
     right = weather.rows(
@@ -380,10 +380,7 @@ class Instruments:
 def _survey_instruments(
     tables: TextTables, instrument: Column, primary: Callable[[list[str]], str], **kw
 ) -> Instruments:
-    names: dict[str, list[str]] = {}
-    for inst, header in tables.header_variants(instrument):
-        known = names.setdefault(inst, [])
-        known += [n for n in header if n not in known]
+    names = tables.column_names(instrument)
     if not names:
         raise ValueError("no instrument file could be parsed")
     found = sorted(names)

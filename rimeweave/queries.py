@@ -16,9 +16,10 @@ from .functions.numeric import num
 from .operators import align, asof, filters, guards, project, quality, summary
 from .plans.campaigns import (
     ESCAPE_FORMAT, ICARTT, IPHEX_FORMAT, IPHEX_RULES, ISDAC_FORMAT, NAMES_BEFORE_LAST, NAMES_WITH_UNITS,
-    OLYMPEX_FORMAT, POSITION_FORMAT, SI_RANGE, Refinement, refine,
+    OLYMPEX_FORMAT, POSITION_FORMAT, SI_RANGE, Refinement, attrex_instrument, refine,
 )
 from .sources import formats as fm
+from .sources.files import stem_of
 from .sources.layout import key_value_metadata, metadata_marks_bad
 from .sources.records import decode_records
 from .sources.tables import open_lines
@@ -590,6 +591,19 @@ def header_choose_column(spark, d):
     )
 
 
+@query
+def header_instrument(spark, d):
+    """Instrument from folder or file name."""
+    folder = (
+        F.when(c("campaign") == "click", "dlh-h2o_v2").when(c("campaign") == "view", "MMS-1HZ").when(c("campaign") == "error", "raw")
+        .otherwise("OTHER")
+    )
+    name = F.when(c("campaign") == "error", "NOAAH2O_20140216.ict").otherwise(F.concat("source_file", F.lit(".ict")))
+    df = obs(spark, d).select("row_no", name.alias("file_name"), folder.alias("folder"))
+    df = df.withColumn("path", F.concat_ws("/", F.lit("file:///data"), "folder", "file_name"))
+    return df.select("row_no", attrex_instrument().alias("instrument"), stem_of(c("file_name")).alias("stem"))
+
+
 # ------------------------------------------------------------------- ingestion
 
 def _supplier_files(spark, d, folder: str, suffix: str) -> DataFrame:

@@ -33,6 +33,11 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bo
     return _keep(found, exclude).select("path", F.col("_metadata.file_name").alias("file_name"), "length")
 
 
+def _unix_lines(text: Column) -> Column:
+    """All three line ends become a line feed; reading line by line does the same."""
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+
 def read_whole(
     spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False, exclude: str | None = None,
     limit: int = WHOLE_FILE_BYTES,
@@ -42,7 +47,7 @@ def read_whole(
     raw = _keep(raw, exclude).filter(F.col("_metadata.file_size") <= limit)
     return raw.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"),
-        F.split("value", "\n").alias("lines"),
+        F.split(_unix_lines(F.col("value")), "\n").alias("lines"),
     )
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, functions as F
 
 from ..functions import names as N
+from ..functions.text import strip
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,7 @@ class TableFormat:
     repeated_names_fail: bool = True
 
     def tokens(self, line: Column) -> Column:
-        return F.split(F.trim(line), r"\s+") if self.blank_separated else F.split(line, ",")
+        return F.split(strip(line), r"\s+") if self.blank_separated else F.split(line, ",")
 
     def cell_count(self, line: Column) -> Column:
         """Number of cells without building them."""
@@ -67,7 +68,7 @@ def comma_names(line: Column) -> Column:
 
 
 def blank_names(line: Column) -> Column:
-    return F.filter(F.split(F.trim(line), r"\s+"), lambda n: n != "")
+    return F.filter(F.split(strip(line), r"\s+"), lambda n: n != "")
 
 
 def clean_blank_names(line: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import clean_name
 from ..functions.numeric import to_number
+from ..functions.text import strip
 from .formats import CountedHeader, ScannedHeader, TableFormat, WidestHeader
 
 # fixed values: what marks a whole file as unusable in its metadata
@@ -26,7 +27,7 @@ POSITION_SPAN = 1 << 40
 
 def header_count(first_line: Column) -> Column:
     """Number of header lines stated at the start of line 1."""
-    token = F.get(F.split(F.trim(first_line), r"[,\s]+"), F.lit(0))
+    token = F.get(F.split(strip(first_line), r"[,\s]+"), F.lit(0))
     return F.when(token.rlike(r"^\d{1,9}$"), token.try_cast("int"))
 
 
@@ -64,18 +65,22 @@ def key_value_metadata(header: Column) -> Column:
     """``key: value`` lines, else ``key, value`` lines with at most three commas; the last use of a key wins."""
 
     def entry(line: Column) -> Column:
-        text = F.trim(line)
+        text = strip(line)
         colon, comma = F.locate(":", text), F.locate(",", text)
-        rest = F.trim(F.substr(text, F.when(colon > 0, colon).otherwise(comma) + 1))
-        key = clean_name(F.left(text, F.when(colon > 0, colon).otherwise(comma) - 1))
-        value = F.when(colon > 0, rest).otherwise(F.regexp_replace(rest, r"\s*,\s*", ", "))
+        at = F.when(colon > 0, colon).otherwise(comma)
+        rest = strip(F.substr(text, at + 1))
         n_commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
-        listed = n_commas.between(1, 3) & ~rest.startswith(",") & ~key.contains("Time_Start")
-        return F.when((colon > 0) | listed, F.struct(key.alias("key"), value.alias("value")))
+        return F.struct(
+            clean_name(F.left(text, at - 1)).alias("key"),
+            F.when(colon > 0, rest).otherwise(F.regexp_replace(rest, r"\s*,\s*", ", ")).alias("value"),
+            (colon > 0).alias("colon"),
+            (n_commas.between(1, 3) & ~rest.startswith(",")).alias("listed"),
+        )
 
     def put(seen: Column, e: Column) -> Column:
+        told = e["colon"] | (e["listed"] & ~e["key"].contains("Time_Start"))
+        usable = told & (e["key"] != "") & (e["value"] != "")
         others = F.map_filter(seen, lambda k, _: k != e["key"])
-        usable = (e["key"] != "") & (e["value"] != "")
         return F.when(usable, F.map_concat(others, F.create_map(e["key"], e["value"]))).otherwise(seen)
 
     empty = F.create_map().cast("map<string,string>")
@@ -86,7 +91,7 @@ def metadata_marks_bad(metadata: Column) -> Column:
     """Whether a quality entry of the metadata rules the whole file out."""
 
     def bad(e: Column) -> Column:
-        key, value = F.lower(e["key"]), F.lower(F.trim(e["value"]))
+        key, value = F.lower(e["key"]), F.lower(strip(e["value"]))
         quality = F.lit(False)
         for token in FILE_FLAG_KEYS:
             quality = quality | key.contains(token)
@@ -99,7 +104,7 @@ def metadata_marks_bad(metadata: Column) -> Column:
 
 
 def numbers_before_comment(line: Column) -> Column:
-    tokens = F.split(F.trim(F.substring_index(line, ";", 1)), r"\s+")
+    tokens = F.split(strip(F.substring_index(line, ";", 1)), r"\s+")
     return F.transform(tokens, to_number)
 
 

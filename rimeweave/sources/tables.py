@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import masks, numeric
+from ..functions.text import strip
 from ..operators import filters, guards as unit_guards
 from ..operators.project import union_all
 from . import files as file_source
@@ -102,16 +103,20 @@ class TextTables:
         """Files that could not be used, with the reason."""
         return self.layouts().filter(F.col("error").isNotNull()).select("path", "file_name", "error")
 
-    def header_variants(self, group: Column | None = None) -> list[tuple[str, list[str]]]:
-        """Distinct (group, names) in file order, read when the plan is built.
+    def column_names(self, group: Column | None = None) -> dict[str, list[str]]:
+        """Column names per group in the order in which files and headers bring them up.
 
-        This is schema discovery: its size is the number of different headers,
-        not of files.
+        Read when the plan is built.  This is schema discovery: its size is the
+        number of different column names, not of files.
         """
         key = (group if group is not None else F.lit("")).alias("group")
         usable = self.layouts().filter(F.col("error").isNull())
-        seen = usable.groupBy(key, "names").agg(F.min("path").alias("_first"))
-        return [(r["group"], list(r["names"])) for r in seen.orderBy("_first").collect()]
+        named = usable.select(key, "path", F.posexplode("names").alias("at", "name"))
+        seen = named.groupBy("group", "name").agg(F.min(F.struct("path", "at")).alias("first"))
+        found: dict[str, list[str]] = {}
+        for r in seen.orderBy("first").collect():
+            found.setdefault(r["group"], []).append(r["name"])
+        return found
 
     def _lines(self, carry: Mapping[str, Column]) -> DataFrame:
         parts = []
@@ -132,7 +137,7 @@ class TextTables:
                 (F.col("line_no") - start).alias("line_no"), "value",
             )
             parts.append(rows)
-        return union_all(parts).filter(F.trim("value") != "")
+        return union_all(parts).filter(strip("value") != "")
 
     def corrupt_rows(self) -> DataFrame:
         """Rows with more cells than names."""
@@ -175,10 +180,10 @@ class TextTables:
             "scales", "flags", *carry, *position,
         ]
         if quality is not None:
-            fixed.append(F.transform("_at_quality", lambda i: F.trim(F.get("_tokens", i))).alias("quality"))
+            fixed.append(F.transform("_at_quality", lambda i: strip(F.get("_tokens", i))).alias("quality"))
         # cell text, number and masked number are steps of their own: as one
         # expression the text would be fetched and parsed once per mention
-        rows = rows.select(*fixed, *[F.trim(F.get("_tokens", F.col(f"_at_{o}"))).alias(o) for o in {**numbers, **texts}])
+        rows = rows.select(*fixed, *[strip(F.get("_tokens", F.col(f"_at_{o}"))).alias(o) for o in {**numbers, **texts}])
         rows = rows.withColumns({o: numeric.parse_double(F.col(o)) for o in numbers})
         sentinel_values = tuple(sentinels)
 
@@ -224,18 +229,18 @@ class TextTables:
 
         def usable_cells() -> Column:
             """Tokens of the lines that become rows, before they do."""
-            fits = F.filter("body", lambda l: (F.trim(l) != "") & (self.fmt.cell_count(l) <= F.size("names")))
+            fits = F.filter("body", lambda l: (strip(l) != "") & (self.fmt.cell_count(l) <= F.size("names")))
             tokens = F.transform(fits, lambda l: self.fmt.tokens(l))
             if quality is None:
                 return tokens
             at = F.transform(quality(F.col("names")), lambda n: (F.array_position("names", n) - 1).cast("int"))
-            return F.filter(tokens, lambda t: ~F.exists(at, lambda i: is_bad(F.trim(F.get(t, i)))))
+            return F.filter(tokens, lambda t: ~F.exists(at, lambda i: is_bad(strip(F.get(t, i)))))
 
         def file_values(wanted: Wanted) -> Column:
             name = F.lit(wanted) if isinstance(wanted, str) else wanted(F.col("names"))
             at = F.array_position("names", name)
             at = F.when(at > 0, at.cast("int") - 1)
-            texts = F.transform("_cells", lambda t: F.trim(F.get(t, at)))
+            texts = F.transform("_cells", lambda t: strip(F.get(t, at)))
             parsed = F.transform(texts, numeric.parse_double)
             finite = F.transform(parsed, lambda v: F.when(F.abs(v) < F.lit(float("inf")), v))
             return F.filter(F.transform(finite, lambda v: masks.drop_flags(v, sentinels)), lambda v: v.isNotNull())

@@ -53,7 +53,7 @@ def test_errors_and_bad_rows(spark, folder):
     assert [(r.file_name, r.value) for r in tables.corrupt_rows().collect()] == [("wide.ict", "1, 2, 3, 4")]
     rows, n = read(tables)
     assert n == 402 and ("good.ict", 7.0, 3.5, None) in rows and ("good.ict", 8.0, 4.0, 8.0) in rows
-    assert tables.header_variants() == [("", ["time", "x", "y"])]
+    assert tables.column_names() == {"": ["time", "x", "y"]}
     cells = tables.cells([-9999]).filter("source_file = 'wide.ict'").orderBy("row_no").collect()
     assert [r.cells for r in cells] == [{"time": 5.0, "x": None, "y": None}, {"time": 6.0, "x": None, "y": 8.0}]
 
@@ -93,6 +93,22 @@ def test_lines_give_the_same(spark, tmp_path):
         assert got["files"] == got["lines"] and got["files"][0][1] == 2.0, name
 
 
+def test_line_ends_and_tabs(spark, tmp_path):
+    text = "4, 1001\r\nInstitute\r\n2014, 02, 16\r\n\ttime,\tx \r\n1,\t2.5\t\r\n 2 , 3\r\n"
+    for name, content in (("dos.ict", text), ("mac.ict", text.replace("\r\n", "\r")), ("unix.ict", text.replace("\r", ""))):
+        (tmp_path / name).write_bytes(content.encode())
+        for limit in (1_000_000, 1):
+            tables = open_files(spark, str(tmp_path), ICARTT, name, whole_limit=limit)
+            got = sorted((r.t, r.x) for r in tables.rows({"t": "time", "x": "x"}).collect())
+            assert got == [(1.0, 2.5), (2.0, 3.0)], (name, limit)
+
+
+def test_column_order(spark, tmp_path):
+    icartt(tmp_path / "a.ict", "time, x", ["1, 2"])
+    icartt(tmp_path / "b.ict", "lat, time, z, x", ["1, 2, 3, 4"])
+    assert open_files(spark, str(tmp_path), ICARTT).column_names()[""] == ["time", "x", "lat", "z"]
+
+
 def test_records(spark, tmp_path):
     arm(tmp_path / "a.gz", [{"Date": 309, "Time_sec": float(i)} for i in range(5)])
     arm(tmp_path / "b.gz", [{"Date": 309}], tail=b"x")
