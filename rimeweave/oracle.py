@@ -329,6 +329,8 @@ ORACLE |= {
         from {LINES_OK} where l_linenumber <> 7""",
     "ingest_cells": f"""select {supplier_file('.ict')} as source_file, {_ROW}, cast(4 as bigint) as n_cells, {_QTY} as qty, {_DISC} as disc
         from {LINES_OK} where l_linenumber <> 7""",
+    "ingest_bad_rows": f"""select {supplier_file('.ict')} as source_file, {_ROW}, concat_ws(', ', cast(l_orderkey as varchar), cast(l_quantity as varchar),
+        cast(l_extendedprice as varchar), cast(l_discount as varchar), '1') as value from {LINES_OK} where l_linenumber = 7""",
     "ingest_file_errors": """select concat('S', cast(s_suppkey as varchar), '.ict') as file_name, case s_suppkey % 5
         when 0 then 'no table header found' when 1 then 'no flight date' else 'repeated column name' end as error from supplier where s_suppkey % 5 <= 2""",
     "ingest_whitespace": f"""select {supplier_file('.dat')} as source_file, {_ROW}, {clock_after('2002-07-09', 'l_orderkey')} as stamp,
