@@ -137,7 +137,7 @@ class TextTables:
                 (F.col("line_no") - start).alias("line_no"), "value",
             )
             parts.append(rows)
-        return union_all(parts).filter(strip("value") != "")
+        return union_all(parts).filter(F.col("value").rlike(r"\S"))
 
     def corrupt_rows(self) -> DataFrame:
         """Rows with more cells than names."""
@@ -183,7 +183,11 @@ class TextTables:
             fixed.append(F.transform("_at_quality", lambda i: strip(F.get("_tokens", i))).alias("quality"))
         # cell text, number and masked number are steps of their own: as one
         # expression the text would be fetched and parsed once per mention
-        rows = rows.select(*fixed, *[strip(F.get("_tokens", F.col(f"_at_{o}"))).alias(o) for o in {**numbers, **texts}])
+        def cell(out: str) -> Column:
+            token = F.get("_tokens", F.col(f"_at_{out}"))
+            return token if self.fmt.blank_separated else strip(token)
+
+        rows = rows.select(*fixed, *[cell(o).alias(o) for o in {**numbers, **texts}])
         rows = rows.withColumns({o: numeric.parse_double(F.col(o)) for o in numbers})
         sentinel_values = tuple(sentinels)
 
@@ -229,7 +233,7 @@ class TextTables:
 
         def usable_cells() -> Column:
             """Tokens of the lines that become rows, before they do."""
-            fits = F.filter("body", lambda l: (strip(l) != "") & (self.fmt.cell_count(l) <= F.size("names")))
+            fits = F.filter("body", lambda l: l.rlike(r"\S") & (self.fmt.cell_count(l) <= F.size("names")))
             tokens = F.transform(fits, lambda l: self.fmt.tokens(l))
             if quality is None:
                 return tokens
