@@ -15,7 +15,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = _tokenizer("piece_bpe_32k.model")
-    return pieces.digests(pieces.decode_pieces(pieces.encode_pieces(docs.select("doc_id", "text"), model).drop("text"), model))
+    return pieces.digests(pieces.encode_pieces(docs.select("doc_id", "text"), model, decode=True))
 
 
 STAGES = [("exact dedup", exact_dedup), ("sentencepiece", encode)]

@@ -17,7 +17,7 @@ from ..session import ensure_checkpoint_dir
 #: A key that holds at least one row in so many is hot. At most so many keys can be, whatever the data.
 HOT_KEYS = 1000
 #: Text that a Python task works on at once; a longer single text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

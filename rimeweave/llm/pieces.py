@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import map_arrow, slices
 
 #: Chunks that a Python worker remembers; beyond that it starts its table afresh.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 200_000
 MARK = "▁"
 #: A run of markers and what follows it up to the next one.
 CHUNK = re.compile(" +[^ ]*")
@@ -66,44 +66,59 @@ def chunk_table(model_path: str) -> ChunkTable:
     return ChunkTable(model_path)
 
 
-def _mapped(df: DataFrame, source: str, added: T.StructField, work: Callable[[str, pa.Array], pa.Array], path: str) -> DataFrame:
-    """`df` with a column that `work` makes, slice by slice; an input column of the same name is replaced."""
-    passed = [c for c in df.columns if c != added.name]
+def _mapped(df: DataFrame, source: str, added: list[T.StructField], work: Callable, path: str) -> DataFrame:
+    """`df` with columns that `work` makes, slice by slice; input columns of the same names are replaced."""
+    names = [field.name for field in added]
+    passed = [c for c in df.columns if c not in names]
     frame = df.select(*(F.col(f"`{c}`") for c in passed), F.col(f"`{source}`").alias("_source"))
-    schema = T.StructType([*frame.drop("_source").schema.fields, added])
-    return map_arrow(frame, partial(_run, work, path, added.name), schema)
+    schema = T.StructType([*frame.drop("_source").schema.fields, *added])
+    return map_arrow(frame, partial(_run, work, path, names), schema)
 
 
-def _run(work: Callable, path: str, name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _run(work: Callable, path: str, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "_source"):
         passed = [c for c in part.schema.names if c != "_source"]
-        made = work(path, part.column("_source"))
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), made], [*passed, name])
+        made = work(path, part.column("_source"))[: len(names)]
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), *made], [*passed, *names])
 
 
-def _encoded(path: str, texts: pa.Array) -> pa.Array:
-    packed = chunk_table(path).encode([text or "" for text in texts.to_pylist()])
+def _packed(packed: list[bytes]) -> pa.Array:
     ends = np.cumsum([0, *map(len, packed)]) // 4
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
-def _decoded(path: str, ids: pa.Array) -> pa.Array:
+def _encoded(path: str, texts: pa.Array) -> list[pa.Array]:
+    return [_packed(chunk_table(path).encode([text or "" for text in texts.to_pylist()]))]
+
+
+def _both(path: str, texts: pa.Array) -> list[pa.Array]:
     table = chunk_table(path)
-    return pa.array([table.decode(one) if one else "" for one in ids.to_pylist()], pa.string())
+    packed = table.encode([text or "" for text in texts.to_pylist()])
+    return [_packed(packed), pa.array([table.decode(np.frombuffer(one, np.int32).tolist()) if one else "" for one in packed], pa.string())]
+
+
+def _decoded(path: str, ids: pa.Array) -> list[pa.Array]:
+    table = chunk_table(path)
+    return [pa.array([table.decode(one.as_py()) if one.is_valid and len(one) else "" for one in ids], pa.string())]
+
+
+IDS, DECODED = T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())
 
 
-def encode_pieces(df: DataFrame, model_path: str, text_column: str = "text") -> DataFrame:
+def encode_pieces(df: DataFrame, model_path: str, text_column: str = "text", decode: bool = False) -> DataFrame:
     """Add `ids` (array of int), what the library's encode() gives for each whole text, without begin or end ids.
 
-    Missing and empty texts have no ids. Very long texts, repeated rows and empty tables need no special care; a
-    column `ids` of the input is replaced.
+    `decode` adds `decoded` as well, from the ids of the same pass. Missing and empty texts have no ids. Very long
+    texts, repeated rows and empty tables need no special care; columns of the input with these names are replaced.
     """
-    return _mapped(df, text_column, T.StructField("ids", T.ArrayType(T.IntegerType())), _encoded, model_path)
+    if decode:
+        return _mapped(df, text_column, [IDS, DECODED], _both, model_path)
+    return _mapped(df, text_column, [IDS], _encoded, model_path)
 
 
 def decode_pieces(df: DataFrame, model_path: str, ids_column: str = "ids") -> DataFrame:
     """Add `decoded`, the text that the library's decode() gives for the ids; missing ids give an empty text."""
-    return _mapped(df, ids_column, T.StructField("decoded", T.StringType()), _decoded, model_path)
+    return _mapped(df, ids_column, [DECODED], _decoded, model_path)
 
 
 def digests(encoded: DataFrame, id_column: str = "doc_id") -> DataFrame:

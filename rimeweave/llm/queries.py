@@ -47,7 +47,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _tokenizer("piece_bpe_32k.model")
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.digests(pieces.decode_pieces(pieces.encode_pieces(documents, model).drop("text"), model))
+    return pieces.digests(pieces.encode_pieces(documents, model, decode=True))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -22,6 +22,8 @@ def test_against_the_library(spark, documents):
     for row in out:
         want = model.encode(texts[row.doc_id] or "")
         assert row.ids == want and row.decoded == model.decode(want)
+    both = encode_pieces(documents(*enumerate(texts)), MODEL, decode=True).select("doc_id", "ids", "decoded").collect()
+    assert sorted(both) == sorted((r.doc_id, r.ids, r.decoded) for r in out)
 
 
 def test_empty_table(documents):
