@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact, pieces, records, urls
-from .common import shared_folder
+from . import exact, pieces, records, toxic, urls
+from .common import is_training, shared_folder
 
 #: Rules of the URL query: verdict, host, path.
 URL_RULES = (
@@ -26,6 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out():
+    return (~is_training(F.col("doc_id"))).alias("held_out")
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "records")
     documents = _table(spark, sf_dir, "documents")
@@ -50,6 +54,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_pieces(documents, model, decode=True))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxic.train(documents, _table(spark, sf_dir, "labels"))
+    return toxic.classify(documents, model).select("doc_id", _held_out(), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: value for name, value in list(globals().items()) if name[:2] == "op" and name[2].isdigit() and callable(value)
 }
