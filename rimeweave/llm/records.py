@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import map_arrow, slices, texts_of
 
 #: Documents to a shard file.
-DOCS_PER_SHARD = 8192
+DOCS_PER_SHARD = 4096
 #: Chunks that a Python worker remembers; beyond that it starts its table afresh.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 200_000
 # fixed values: constant and rotation that mask a checksum, as in common record files
 MASK, TURN = 0xA282EAD8, 15
 #: A record: length of the payload, checksum of the length, payload, checksum of the payload, line feed.
@@ -57,29 +57,37 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id) < 1 << 16 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
+        pieces = sorted(self.tokenizer.get_vocab().items(), key=lambda item: item[1])
+        self.starts = np.zeros(pieces[-1][1] + 1, bool)  # tokens that begin with a blank
+        self.starts[[at for piece, at in pieces if piece.startswith("Ġ")]] = True
         self.ids: dict[str, bytes] = {}
 
     def _tokenized(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(one.ids, self.kind).tobytes() for one in found]
 
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Each chunk with a blank before it, tokenized as one text: a chunk starts where a token begins with a blank."""
+        if not chunks:
+            return []
+        found = self.tokenizer.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)
+        ids = np.array(found[0].ids, self.kind)
+        at = np.flatnonzero(self.starts[ids])
+        if len(at) != len(chunks) or at[0]:
+            return self._tokenized([" " + chunk for chunk in chunks])
+        packed, at = ids.tobytes(), (at * self.kind.itemsize).tolist()
+        return [packed[i:j] for i, j in zip(at, [*at[1:], len(packed)])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.ids) > MOST_CHUNKS:
             self.ids = {}
-        cut = []
-        for text in texts:
-            if NOT_SURE.search(text):
-                cut.append([text])
-            else:
-                first, *rest = text.split(" ")
-                cut.append([first, *rest])
-        heads = {chunks[0] for chunks in cut}
-        new = set().union(*(chunks[1:] for chunks in cut)).difference(self.ids)
-        texts_new = [" " + chunk for chunk in new]
-        self.ids.update(zip(new, self._tokenized(texts_new)))
-        heads = dict(zip(heads, self._tokenized(list(heads))))
+        cut = [[text] if NOT_SURE.search(text + " ") else text.split(" ") for text in texts]
+        new = list(set().union(*(chunks[1:] for chunks in cut)).difference(self.ids))
+        self.ids.update(zip(new, self._chunks(new)))
+        heads = list({chunks[0] for chunks in cut})
+        first = dict(zip(heads, self._tokenized(heads)))
         ids_of = self.ids.__getitem__
-        return [heads[chunks[0]] + b"".join(map(ids_of, chunks[1:])) + self.end for chunks in cut]
+        return [first[chunks[0]] + b"".join(map(ids_of, chunks[1:])) + self.end for chunks in cut]
 
 
 @lru_cache(maxsize=2)
