@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact, pieces, records, toxic, urls
+from . import exact, pieces, quality, records, toxic, urls
 from .common import is_training, shared_folder
 
 #: Rules of the URL query: verdict, host, path.
@@ -30,6 +30,12 @@ def _held_out():
     return (~is_training(F.col("doc_id"))).alias("held_out")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(documents, _table(spark, sf_dir, "labels"))
+    return quality.classify(documents, model).select("doc_id", _held_out(), "score", "predicted")
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "records")
     documents = _table(spark, sf_dir, "documents")
