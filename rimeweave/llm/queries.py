@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact, pieces, quality, records, toxic, urls
+from . import exact, pieces, quality, records, suffixes, toxic, urls
 from .common import is_training, shared_folder
 
 #: Rules of the URL query: verdict, host, path.
@@ -54,6 +54,15 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffixes.find_contamination(documents, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        suffixes.digest(F.col("items")).alias("items_sha256"), "contaminated",
+    )
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _tokenizer("piece_bpe_32k.model")
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -83,6 +92,41 @@ ORACLE: dict[str, str] = {
         )
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, s as text_sha256 from g
     """,
+    "op6_decontamination": r"""
+        with d as (
+            select doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[0-9a-z\x{80}-\x{10FFFF}]+') as w
+            from documents
+        ), b as (
+            select item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[0-9a-z\x{80}-\x{10FFFF}]+') as w
+            from benchmark
+        ), sized as (
+            select item_id, w, least(10, len(w)) as size from b where len(w) > 0
+        ), starts as (
+            select item_id, w, size, unnest(range(1, len(w) - size + 2)) as k from sized
+        ), windows as (
+            select distinct item_id, size, array_to_string(w[k:k + size - 1], ' ') as gram from starts
+        ), sizes as (
+            select distinct size from windows
+        ), places as (
+            select doc_id, size, w, unnest(range(1, len(w) - size + 2)) as k from d, sizes
+        ), met as (
+            select p.doc_id, p.k, p.size, x.item_id
+            from places p join windows x on x.size = p.size and x.gram = array_to_string(p.w[p.k:p.k + p.size - 1], ' ')
+        ), hit as (
+            select doc_id, count(distinct word) as n_hit
+            from (select doc_id, unnest(range(k, k + size)) as word from met) group by doc_id
+        ), items as (
+            select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as list
+            from (select distinct doc_id, cast(item_id as varchar) as item from met) group by doc_id
+        )
+        select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+               sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join hit using (doc_id) left join items using (doc_id)
+    """,
     "op5_url_filter": r"""
         with r as (
             select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest
