@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact, pieces, quality, records, suffixes, toxic, urls
+from . import darts, exact, pieces, quality, records, suffixes, toxic, urls
 from .common import is_training, shared_folder
 
 #: Rules of the URL query: verdict, host, path.
@@ -75,6 +75,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.classify(documents, model).select("doc_id", _held_out(), "score", "predicted")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return darts.near_duplicates(documents).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: value for name, value in list(globals().items()) if name[:2] == "op" and name[2].isdigit() and callable(value)
 }
