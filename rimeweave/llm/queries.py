@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import darts, exact, pieces, quality, records, suffixes, toxic, urls
+from . import darts, exact, pieces, quality, records, suffixes, template, toxic, urls
 from .common import is_training, shared_folder
 
 #: Rules of the URL query: verdict, host, path.
@@ -49,6 +49,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return template.main_texts(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
