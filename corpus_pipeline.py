@@ -4,23 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rimeweave.llm import exact, pieces
+from rimeweave.llm import darts, exact, pieces, suffixes, toxic
 from rimeweave.llm.common import written
-from rimeweave.llm.queries import _tokenizer
+from rimeweave.llm.queries import tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier does not reject."""
+    model = toxic.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxic.classify(docs.withColumn("_scored", docs["text"]), model, "_scored")
+    return scored.filter("predicted = 0").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return exact.exact_duplicates(docs).filter("kept").select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return darts.near_duplicates(docs).filter("kept").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    found = suffixes.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter("not contaminated").select(*docs.columns)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = _tokenizer("piece_bpe_32k.model")
+    """Number and digests of the SentencePiece ids and of the text they decode to."""
+    model = tokenizer_path("piece_bpe_32k.model")
     return pieces.digests(pieces.encode_pieces(docs.select("doc_id", "text"), model, decode=True))
 
 
-STAGES = [("exact dedup", exact_dedup), ("sentencepiece", encode)]
+STAGES = [
+    ("toxicity", drop_toxic), ("exact dedup", exact_dedup), ("near dedup", near_dedup),
+    ("decontamination", decontaminate), ("sentencepiece", encode),
+]
 
-#: Stages that learn from labels or compare sketches have no SQL; tests hold each stage against brute force.
+#: Compression lengths and SentencePiece ids have no SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import darts, exact, pieces, quality, records, suffixes, template, toxic, urls
+from . import darts, exact, passages, pieces, quality, records, suffixes, template, toxic, urls
 from .common import is_training, shared_folder
 
 #: Rules of the URL query: verdict, host, path.
@@ -16,7 +16,7 @@ URL_RULES = (
 END_ID = 2
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -39,7 +39,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "records")
     documents = _table(spark, sf_dir, "documents")
-    records.write_records(documents, folder, _tokenizer("byte_bpe_50k.json"), END_ID)
+    records.write_records(documents, folder, tokenizer_path("byte_bpe_50k.json"), END_ID)
     read = records.read_records(spark, folder)
     return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
@@ -69,7 +69,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = _tokenizer("piece_bpe_32k.model")
+    model = tokenizer_path("piece_bpe_32k.model")
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.digests(pieces.encode_pieces(documents, model, decode=True))
 
@@ -80,6 +80,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.classify(documents, model).select("doc_id", _held_out(), "score", "predicted")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return darts.near_duplicates(documents).drop("text")
