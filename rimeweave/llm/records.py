@@ -17,7 +17,7 @@ from .common import map_arrow, slices, texts_of
 #: Documents to a shard file.
 DOCS_PER_SHARD = 4096
 #: Chunks that a Python worker remembers; beyond that it starts its table afresh.
-MOST_CHUNKS = 200_000
+MOST_CHUNKS = 500_000
 # fixed values: constant and rotation that mask a checksum, as in common record files
 MASK, TURN = 0xA282EAD8, 15
 #: A record: length of the payload, checksum of the length, payload, checksum of the payload, line feed.
