@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import HOT_KEYS, attach, written
+from .common import HOT_KEYS, attach, map_arrow, written
 
-#: Members of a bucket that are compared with all its others in one round.
-LEADERS = 8
+#: Members outside the largest class of a bucket that are broadcast and compared in one round.
+AT_ONCE = 512
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, total: int) -> DataFrame:
@@ -59,44 +63,84 @@ def _larger_first(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b").distinct()
 
 
-def bucket_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Classes (id, class) of ids that share a bucket (key, id) and pass `verify`, and the verified links (a, b).
+@dataclass(frozen=True)
+class Waiting:
+    """Members that are compared in one round: ids, classes, the keys of their buckets, and signatures as a matrix."""
+
+    ids: list
+    classes: list
+    keys: np.ndarray
+    signatures: np.ndarray
+
+
+def _screened(shared, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a row and a waiting member of another class whose signatures agree in a share of `least` or more."""
+    waiting: Waiting = shared.value
+    for batch in batches:
+        keys = batch.column("bands").flatten().to_numpy()
+        rows = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("bands").offsets.to_numpy()))
+        at = np.unique(rows[np.isin(keys, waiting.keys)])
+        ids, classes = batch.column("id").to_pylist(), batch.column("class").to_pylist()
+        signatures = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(batch.num_rows, -1)
+        left, right = [], []
+        for row in at.tolist():
+            agree = (waiting.signatures == signatures[row]).mean(axis=1)
+            for other in np.flatnonzero(agree >= least).tolist():
+                if waiting.classes[other] != classes[row]:
+                    left.append(ids[row])
+                    right.append(waiting.ids[other])
+        kind = batch.schema.field("id").type
+        yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], ["id", "other"])
+
+
+def bucket_classes(
+    members: DataFrame, least: float, verify: Callable[[DataFrame], DataFrame], at_once: int = AT_ONCE
+) -> tuple[DataFrame, DataFrame]:
+    """Classes (id, class) of members (id, bands, signature) that share a band and pass `verify`, and the links (a, b).
 
     `verify` keeps those rows of (a, b) whose ids are linked. First every member of a bucket is compared with the
-    smallest one. Where a bucket still has members of several classes, those outside its largest class are compared, a
-    few at a time, with all members of other classes, until each of them was or all are in one class. So no link
-    between classes of a bucket is missed, and members of one class are never compared pair by pair.
+    smallest one. Then each member that shares a bucket with another class, other than the largest there, is compared
+    with the rest: `at_once` of them are broadcast with their signatures (16 bits a coordinate) and meet all members in
+    their buckets, and pairs whose signatures agree in a share of `least` or more go to `verify`. This ends when every
+    such member was compared or all buckets are of one class. So links between members that both differ from the
+    smallest one are found too, and members of one class are never compared pair by pair.
     """
+    buckets = members.select("id", F.explode("bands").alias("key")).distinct()
     sized = buckets.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    buckets = written(attach(buckets, sized, "key", "n", max(1, buckets.count()), "id").filter("first is not null"), "buckets")
-    total = buckets.count()
+    total = max(1, members.count())
+    buckets = written(attach(buckets, sized, "key", "n", total, "id").filter("first is not null"), "buckets")
+    total = max(1, buckets.count())
+    members = written(members.join(buckets.select("id").distinct(), "id", "left_semi"), "members")
     links = written(verify(_larger_first(buckets, "id", "first")), "links")
     found = written(classes(links), "classes")
-    done = buckets.select("key", F.col("first").alias("id")).distinct()
-    while total:
-        mapped = buckets.select("key", "id", "n").join(found, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    done = buckets.select("id").limit(0)
+    while True:
+        mapped = buckets.select("key", "id").join(found, "id", "left").withColumn("class", F.coalesce("class", "id"))
         parts = mapped.groupBy("key", "class").agg(F.count("*").alias("size"))
         largest = parts.groupBy("key").agg(
-            F.max(F.struct("size", "class")).alias("most"), F.count("*").alias("classes"), F.sum("size").alias("n")
-        ).filter("classes > 1").select("key", F.col("most.class").alias("main"), F.col("n").alias("weight"))
-        open_ = attach(mapped, largest, "key", "weight", total, "id").filter("main is not null")
-        open_ = written(open_.select("key", "id", "class", "main", "weight"), "open")
-        waiting = open_.filter(F.col("class") != F.col("main")).join(done, ["key", "id"], "left_anti")
-        chosen = waiting.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("g")).agg(
-            F.min(F.struct("id", "class")).alias("leader"), F.first("weight").alias("weight")
+            F.max(F.struct("size", "class")).alias("most"), F.count("*").alias("classes"), F.sum("size").alias("weight")
+        ).filter("classes > 1").select("key", F.col("most.class").alias("main"), "weight")
+        open_ = attach(mapped, largest, "key", "weight", total, "id").filter("main is not null and class != main")
+        ids = open_.select("id").distinct().join(done, "id", "left_anti")
+        chosen = written(ids.orderBy("id").limit(at_once), "waiting")
+        classed = members.join(found, "id", "left").withColumn("class", F.coalesce("class", "id"))
+        rows = classed.join(F.broadcast(chosen), "id").collect()
+        if not rows:
+            return found, links
+        shared = members.sparkSession.sparkContext.broadcast(
+            Waiting(
+                [row["id"] for row in rows], [row["class"] for row in rows], np.unique([key for row in rows for key in row["bands"]]),
+                np.frombuffer(b"".join(row["signature"] for row in rows), "<u2").reshape(len(rows), -1),
+            )
         )
-        chosen = written(chosen, "leaders")
-        if chosen.isEmpty():
-            break
-        per_key = chosen.groupBy("key").agg(F.collect_list("leader").alias("leaders"), F.first("weight").alias("w"))
-        met = attach(open_, per_key, "key", "w", total, "id").filter("leaders is not null")
-        met = met.select("id", "class", F.explode("leaders").alias("leader")).filter(F.col("leader.class") != F.col("class"))
-        more = written(verify(_larger_first(met.select("id", F.col("leader.id").alias("other")), "id", "other")), "links")
-        done = written(done.unionAll(chosen.select("key", "leader.id")), "done")
+        kind = members.schema["id"]
+        schema = T.StructType([kind, T.StructField("other", kind.dataType)])
+        near = map_arrow(classed.select("id", "class", "bands", "signature"), partial(_screened, shared, least), schema)
+        more = written(verify(_larger_first(near, "id", "other")), "links")
+        done = written(done.unionAll(chosen), "done")
         if not more.isEmpty():
             links = written(links.unionAll(more).distinct(), "links")
             found = written(classes(links), "classes")
-    return found, links
 
 
 def is_first(id_column: Column, class_column: Column) -> Column:
