@@ -109,5 +109,6 @@ def pick_suffix(names: Iterable[str], contains: str, suffix: str) -> str | None:
     return next((n for n in names if contains in n.lower() and n.upper().endswith(suffix.upper())), None)
 
 
-def with_prefix(name: str, prefix: str) -> str:
-    return name if name.startswith(prefix) else f"{prefix}_{name}"
+def with_prefix(name: str, prefix: str, always: bool = False) -> str:
+    """Prefixed name; unless it must be ``always``, a name that already starts with the prefix stays."""
+    return name if name.startswith(prefix) and not always else f"{prefix}_{name}"

@@ -164,13 +164,14 @@ def exact_quantiles(
         a, z = F.col(f"_a_{n}"), F.col(f"_z_{n}")
         exact = a + (z - a) * (ranks[n] - F.floor(ranks[n]))
         missed = F.raise_error(F.lit("quantile bracket does not enclose its rank")).cast("double")
-        return F.when(a.isNotNull() & z.isNotNull(), exact).otherwise(missed).alias(n)
+        nothing = F.lit(None).cast("double")
+        return F.when(F.col("_n") == 0, nothing).when(a.isNotNull() & z.isNotNull(), exact).otherwise(missed).alias(n)
 
-    return picked.filter(F.col("_n") > 0).select(*by, *[answer(n) for n in probabilities])
+    return picked.select(*by, *[answer(n) for n in probabilities])
 
 
 def distribution_stats(df: DataFrame, value: str = "Si", by: Sequence[str] = ("Campaign",)) -> DataFrame:
-    """Min, quartiles, max, mean and population deviation; groups without a value are absent."""
+    """Min, quartiles, max, mean and population deviation; all NULL for a group without a value."""
     by = list(by)
     moments = df.groupBy(*by).agg(
         F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")
@@ -178,7 +179,7 @@ def distribution_stats(df: DataFrame, value: str = "Si", by: Sequence[str] = ("C
     quartiles = exact_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
     columns = [*by, "min", "q1", "median", "q3", "max", "mean", "std"]
     if by:
-        return moments.join(quartiles, by).select(*columns)
+        return moments.join(quartiles, by, "left").select(*columns)
     whole = quartiles.select(F.struct("q1", "median", "q3")).scalar()
     return moments.withColumn("_q", whole).select("min", "_q.q1", "_q.median", "_q.q3", "max", "mean", "std")
 

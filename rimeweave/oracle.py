@@ -356,3 +356,18 @@ ORACLE |= {
           make_timestamp(2000 + cast(year(l_shipdate) as bigint) % 100, month(l_shipdate), day(l_shipdate), 0, 0, 0) + to_seconds(s) as stamp,
           {r6('t')} as tair, {r6(si_mk('f', 't'))} as si, {r6('round(l_extendedprice*10)/1000 - 100')} as alt_m, cast(0 as double) as last_field from x""",
 }
+
+# ------------------------------------------------ whole campaigns from raw files
+_MC3E = """select l_orderkey, l_linenumber, -l_quantity as tair, case when l_linenumber <> 2 then -l_tax end as frost,
+    cast(l_linenumber as double) as lat, -cast(l_linenumber as double) as lon, cast(l_partkey as double) as alt, l_suppkey % 7 = 0 as bad
+    from lineitem"""
+ORACLE |= {
+    "campaign_mc3e": f"""select {clock_after('2011-04-25', 'l_orderkey')} as stamp, 'MC3E' as "Campaign", tair as "Tair_C",
+        {r6(si_mk('frost', 'tair'))} as "Si", lat as "Lat", lon as "Lon", alt as "Alt_m"
+        from ({_MC3E}) where not bad and l_linenumber <> 7""",
+    "harmonise_report": """with s as (select l_suppkey % 7 = 0 as bad, count(*) filter (l_linenumber <> 7) as good,
+          count(*) filter (l_linenumber = 7) as corrupt from lineitem group by l_suppkey)
+        select x as "Campaign", cast(sum(good) filter (not bad) as bigint) as n_rows, count(*) filter (bad) as n_errors,
+          cast(sum(corrupt) filter (not bad) as bigint) as n_corrupt, cast(1 as bigint) as n_failed
+        from s, (values ('MC3E'), ('SECOND')) v(x) group by x""",
+}

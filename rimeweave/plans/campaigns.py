@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
+from urllib.parse import quote
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -332,19 +334,20 @@ class Instruments:
     time_of: Callable[[str], Callable[[Column], Column]]
     sentinels: Sequence[float]
     mask_time: bool = True
+    always_prefix: bool = False     # also where a name already starts with the prefix
 
     def merged_names(self) -> list[str]:
         return [m for i in self.order for m in self._merged(i)]
 
     def _merged(self, instrument: str) -> dict[str, str]:
         prefix = self.prefix_of(instrument)
-        return {N.with_prefix(n, prefix): n for n in self.names[instrument]}
+        return {N.with_prefix(n, prefix, self.always_prefix): n for n in self.names[instrument]}
 
     def stream(self, instrument: str, merged: Sequence[str], staging: str | None) -> DataFrame:
         """Rows of one instrument: time stamp and the wanted columns that it has.
 
-        The joins read a stream more than once.  With a ``staging`` folder it is
-        parsed once and kept there as parquet.
+        The joins read a stream more than once.  With a ``staging`` folder, which
+        belongs to one plan alone, it is parsed once and kept there as parquet.
         """
         mine = self._merged(instrument)
         wanted: dict = {m: mine[m] for m in merged if m in mine}
@@ -359,10 +362,10 @@ class Instruments:
         )
         if not staging:
             return rows
-        place = f"{staging}/{instrument}"
+        place = f"{staging}/{quote(instrument, safe='')}"
         # parquet names may not hold some of the characters that columns have
         plain = [f"c{i}" for i in range(len(rows.columns))]
-        rows.toDF(*plain).write.mode("overwrite").parquet(place)
+        rows.toDF(*plain).write.parquet(place)
         return rows.sparkSession.read.parquet(place).toDF(*rows.columns)
 
     def merge(self, merged: Sequence[str], options: Mapping[str, Any]) -> DataFrame:
@@ -372,6 +375,8 @@ class Instruments:
         never read out of its file.
         """
         tolerance, staging = options.get("tolerance", INSTRUMENT_TOLERANCE), options.get("staging_path")
+        if staging:  # campaigns may share instrument names, and runs may share the folder
+            staging = f"{staging.rstrip('/')}/{uuid4().hex}"
         streams = {i: self.stream(i, merged, staging) for i in self.order}
         primary = streams.pop(self.order[0])
         return nearest_asof_fold(primary, streams, "Timestamp", tolerance, tiebreak=["source_file", "row_no"])
@@ -528,7 +533,7 @@ def posidon(spark: SparkSession, spec: CampaignSpec) -> DataFrame:
 
     inst = _survey_instruments(
         tables, F.split(stem_of(F.col("file_name")), "_")[0], lambda found: spec.options.get("primary", found[0]),
-        prefix_of=lambda i: i, time_of=time_of, sentinels=ICARTT_SENTINELS, mask_time=False,
+        prefix_of=lambda i: i, time_of=time_of, sentinels=ICARTT_SENTINELS, mask_time=False, always_prefix=True,
     )
     names = inst.merged_names()
     # fixed values: the merged columns this campaign uses

@@ -7,6 +7,7 @@ or through a sum, whose last bits depend on the engine.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -18,6 +19,8 @@ from .plans.campaigns import (
     ESCAPE_FORMAT, ICARTT, IPHEX_FORMAT, IPHEX_RULES, ISDAC_FORMAT, NAMES_BEFORE_LAST, NAMES_WITH_UNITS,
     OLYMPEX_FORMAT, POSITION_FORMAT, SI_RANGE, Refinement, attrex_instrument, refine,
 )
+from .plans.harmonise import campaign, harmonise
+from .session import ensure_checkpoint_dir
 from .sources import formats as fm
 from .sources.files import stem_of
 from .sources.layout import key_value_metadata, metadata_marks_bad
@@ -25,7 +28,7 @@ from .sources.records import decode_records
 from .sources.tables import open_lines
 from .specs import (
     AIRS_II_VARIABLES, ARM_RECORD, ATTREX_TIME_FALLBACKS, COMMON_SENTINELS, ESCAPE_CANDIDATES, FROST_MARGIN,
-    ICARTT_SENTINELS, IPHEX_SENTINELS, ISDAC_SENTINELS, MACPEX_SENTINELS, MACPEX_VAPOUR, OLYMPEX_TABLE,
+    ICARTT_SENTINELS, IPHEX_SENTINELS, ISDAC_SENTINELS, MACPEX_SENTINELS, MACPEX_VAPOUR, OLYMPEX_TABLE, CampaignSpec,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -620,7 +623,7 @@ def _line_rows(spark, d, folder: str, suffix: str, line: Column) -> DataFrame:
 
 
 def _open(files: DataFrame, header: list[Column], body: DataFrame, fmt: fm.TableFormat):
-    return open_lines(numbered_lines(files, header, body), fmt, n_files=files.count())
+    return open_lines(numbered_lines(files, header, body), fmt)
 
 
 def _s(column: str) -> Column:
@@ -817,3 +820,50 @@ def ingest_fixed_binary(spark, d):
             si.alias("si"), value["GPS_Alt_m"].alias("alt_m"), value["DP2_Mean_Vol_Diam_um"].alias("last_field"),
         )
     )
+
+
+# ------------------------------------------------ whole campaigns from raw files
+
+def _raw_files(spark: SparkSession, d: str, header: list[Column], bad_header: Column, line: Column) -> str:
+    """A raw text file for each supplier, with a row for each of its line items; the folder.
+
+    Executors write the files, one per row of text. A header is ``bad_header`` for every seventh supplier.
+    """
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/raw-{uuid4().hex}"
+    at = c("l_orderkey") * F.lit(8) + c("l_linenumber")
+    files = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), line.alias("line")))).alias("rows"))
+    top = F.when(c("l_suppkey") % 7 == 0, bad_header).otherwise(F.concat_ws("\n", *header))
+    text = F.concat_ws("\n", top, F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
+    files.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
+def _mc3e_files(spark: SparkSession, d: str) -> str:
+    minus = F.lit("-")
+    line = F.concat_ws(
+        " ", _s("l_orderkey"), F.concat(minus, _s("l_quantity")),
+        F.when(c("l_linenumber") == 2, "-9999.0").otherwise(F.concat(minus, _s("l_tax"))),
+        _s("l_linenumber"), F.concat(minus, _s("l_linenumber")), _s("l_partkey"), F.when(c("l_linenumber") == 7, F.lit("1 2")),
+    )
+    names = "Time Air_Temp FrostPoint POS_Lat POS_Lon POS_Alt"
+    header = [F.lit(x) for x in ("5 1001", "campaign", " 2011 04 25", names, "s C C d d m")]
+    return _raw_files(spark, d, header, F.lit("no header here"), line)
+
+
+@query
+def campaign_mc3e(spark, d):
+    """The pipeline of a campaign over raw files, from listing them to the standard table."""
+    df = campaign(spark, CampaignSpec("MC3E", _mc3e_files(spark, d)))
+    return df.select(ntz(c("Timestamp")).alias("stamp"), "Campaign", "Tair_C", r6(c("Si")).alias("Si"), "Lat", "Lon", "Alt_m")
+
+
+@query
+def harmonise_report(spark, d):
+    """What the combined job says about files and rows that it could not use, and about a campaign that is not there."""
+    folder = _mc3e_files(spark, d)
+    done = harmonise(spark, [CampaignSpec("MC3E", folder), CampaignSpec("SECOND", folder, kind="MC3E"), CampaignSpec("GONE", folder + "-none", kind="MC3E")])
+    rows = done.table.groupBy("Campaign").agg(F.count("*").alias("n_rows"))
+    errors = done.errors.groupBy("Campaign").agg(F.count("*").alias("n_errors"))
+    corrupt = done.corrupt.groupBy("Campaign").agg(F.sum("n_rows").alias("n_corrupt"))
+    return rows.join(errors, "Campaign", "left").join(corrupt, "Campaign", "left").withColumn("n_failed", F.lit(len(done.failed)).cast("long"))

@@ -64,27 +64,30 @@ def data_offset(fmt: TableFormat) -> int:
 def key_value_metadata(header: Column) -> Column:
     """``key: value`` lines, else ``key, value`` lines with at most three commas; the last use of a key wins."""
 
-    def entry(line: Column) -> Column:
-        text = strip(line)
+    def entry(text: Column, at_line: Column) -> Column:
         colon, comma = F.locate(":", text), F.locate(",", text)
         at = F.when(colon > 0, colon).otherwise(comma)
         rest = strip(F.substr(text, at + 1))
         n_commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
         return F.struct(
-            clean_name(F.left(text, at - 1)).alias("key"),
+            clean_name(F.left(text, at - 1)).alias("key"), at_line.alias("line"),
             F.when(colon > 0, rest).otherwise(F.regexp_replace(rest, r"\s*,\s*", ", ")).alias("value"),
             (colon > 0).alias("colon"),
             (n_commas.between(1, 3) & ~rest.startswith(",")).alias("listed"),
         )
 
-    def put(seen: Column, e: Column) -> Column:
+    def usable(e: Column) -> Column:
         told = e["colon"] | (e["listed"] & ~e["key"].contains("Time_Start"))
-        usable = told & (e["key"] != "") & (e["value"] != "")
-        others = F.map_filter(seen, lambda k, _: k != e["key"])
-        return F.when(usable, F.map_concat(others, F.create_map(e["key"], e["value"]))).otherwise(seen)
+        return told & (e["key"] != "") & (e["value"] != "")
 
-    empty = F.create_map().cast("map<string,string>")
-    return F.aggregate(F.transform(header, entry), empty, put)
+    def last_of_key(entries: Column) -> Column:
+        """Of entries in order of key and line, those that no entry of the same key follows."""
+        return F.filter(entries, lambda e, i: ~F.coalesce(F.get(entries, i + 1)["key"] == e["key"], F.lit(False)))
+
+    # an array of one element binds a value that a lambda uses more than once
+    entries = F.array_sort(F.filter(F.transform(F.transform(header, strip), entry), usable))
+    kept = F.get(F.transform(F.array(entries), last_of_key), F.lit(0))
+    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"])))
 
 
 def metadata_marks_bad(metadata: Column) -> Column:

@@ -26,14 +26,9 @@ from ..operators import filters, guards as unit_guards
 from ..operators.project import union_all
 from . import files as file_source
 from .formats import CountedHeader, ScannedHeader, TableFormat
+from .faults import noted
 from .layout import data_offset, header_count, header_position, widest_key, widest_position, with_layout
 
-#: a stated header longer than this is an error of the file, not a header
-MAX_HEADER_LINES = 10_000
-
-#: per-file rows are broadcast up to this many files, otherwise Spark chooses at run time
-BROADCAST_FILES = 10_000
-
 #: a wanted column: its name, or an expression over the file's ``names``
 Wanted = str | Callable[[Column], Column]
 
@@ -42,20 +37,15 @@ _LAYOUT = ["path", "file_name", "names", "flight_date", "metadata", "scales", "f
 
 def _add_header(df: DataFrame, fmt: TableFormat) -> DataFrame:
     h = header_position(fmt, F.col("lines"))
-    h = F.when((h >= 0) & (h < F.least(F.size("lines"), F.lit(MAX_HEADER_LINES))), h)
+    h = F.when((h >= 0) & (h < F.size("lines")), h)
     return df.withColumn("_h", h).withColumn("header", F.slice("lines", F.lit(1), F.coalesce(F.col("_h") + 1, F.lit(0))))
 
 
-def _small(df: DataFrame, n_files: int | None) -> DataFrame:
-    """Per-file rows for a join: broadcast if the number of files is known to be small."""
-    return F.broadcast(df) if n_files is not None and n_files <= BROADCAST_FILES else df
-
-
-def _header_of_lines(lines: DataFrame, fmt: TableFormat, n_files: int | None) -> DataFrame:
+def _header_of_lines(lines: DataFrame, fmt: TableFormat) -> DataFrame:
     """``path, file_name, _h, header`` of files given as numbered lines.
 
     The position of the header comes from one mergeable number per file; only
-    lines up to it, at most ``MAX_HEADER_LINES``, are gathered per file.
+    lines up to it are gathered per file.
     """
     rule, number, value = fmt.header, F.col("line_no"), F.col("value")
     files = lines
@@ -66,8 +56,8 @@ def _header_of_lines(lines: DataFrame, fmt: TableFormat, n_files: int | None) ->
     else:
         at = widest_position(F.max(widest_key(rule, value, number)))
     found = files.groupBy("path", "file_name").agg(at.cast("int").alias("_h"))
-    found = found.withColumn("_h", F.when(F.col("_h").between(0, MAX_HEADER_LINES - 1), F.col("_h")))
-    top = lines.filter(number < MAX_HEADER_LINES).join(_small(found.select("path", "_h"), n_files), "path")
+    found = found.withColumn("_h", F.when(F.col("_h") >= 0, F.col("_h")))
+    top = lines.join(found.select("path", "_h"), "path")
     gathered = top.filter(number <= F.col("_h")).groupBy("path").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("_top")
     )
@@ -84,7 +74,6 @@ class TextTables:
     whole: DataFrame | None        # layout columns and ``body ARRAY<STRING>``, one row per file
     split_layout: DataFrame | None  # layout columns and ``_h``, one row per file
     split_lines: DataFrame | None   # ``path, line_no, value``
-    split_files: int | None = None  # how many files those are, if known
 
     def only(self, condition: Column) -> TextTables:
         """The tables of the files that meet a condition on ``path``, ``file_name`` or ``names``."""
@@ -92,7 +81,7 @@ class TextTables:
         def kept(df: DataFrame | None) -> DataFrame | None:
             return None if df is None else df.filter(condition)
 
-        return TextTables(self.fmt, kept(self.whole), kept(self.split_layout), self.split_lines, self.split_files)
+        return TextTables(self.fmt, kept(self.whole), kept(self.split_layout), self.split_lines)
 
     def layouts(self) -> DataFrame:
         """One row per file: names, flight date, metadata, scales, flags, error."""
@@ -129,7 +118,7 @@ class TextTables:
             parts.append(rows)
         if self.split_layout is not None:
             usable = self.split_layout.filter(F.col("error").isNull()).withColumns(dict(carry))
-            usable = _small(usable.drop("header"), self.split_files)
+            usable = usable.drop("header")
             lines = self.split_lines.select("path", "line_no", "value").join(usable, "path")
             start = F.col("_h") + data_offset(self.fmt)
             rows = lines.filter(F.col("line_no") >= start).select(
@@ -262,9 +251,10 @@ class TextTables:
             rows = kept(mine.rows(numbers, sentinels=sentinels, carry={**force_flags, **verdicts}, quality=quality))
             parts.append(unit_guards.convert(rows, guards, list(verdicts.values()), forced_rows).select(*wanted_columns))
         if self.split_layout is not None:
-            mine = TextTables(self.fmt, None, self.split_layout, self.split_lines, self.split_files)
-            rows = kept(mine.rows(numbers, sentinels=sentinels, carry=force_flags, quality=quality))
-            parts.append(unit_guards.apply_guards(rows, guards, ["source_file"], forced_rows).select(*wanted_columns))
+            mine = TextTables(self.fmt, None, self.split_layout, self.split_lines)
+            carry = {**force_flags, "_file": F.col("path")}  # files in different folders may share a name
+            rows = kept(mine.rows(numbers, sentinels=sentinels, carry=carry, quality=quality))
+            parts.append(unit_guards.apply_guards(rows, guards, ["_file"], forced_rows).select(*wanted_columns))
         return union_all(parts).drop(*force_flags)
 
     def cells(self, sentinels: Iterable[float] = ()) -> DataFrame:
@@ -279,18 +269,17 @@ class TextTables:
         )
 
 
-def _of_lines(lines: DataFrame, fmt: TableFormat, n_files: int | None, whole: DataFrame | None = None) -> TextTables:
-    layout = with_layout(_header_of_lines(lines, fmt, n_files), fmt).select(*_LAYOUT, "_h")
-    return TextTables(fmt, whole, layout, lines, n_files)
+def _of_lines(lines: DataFrame, fmt: TableFormat, whole: DataFrame | None = None) -> TextTables:
+    layout = with_layout(_header_of_lines(lines, fmt), fmt).select(*_LAYOUT, "_h")
+    return TextTables(fmt, whole, layout, lines)
 
 
-def open_lines(lines: DataFrame, fmt: TableFormat, n_files: int | None = None) -> TextTables:
+def open_lines(lines: DataFrame, fmt: TableFormat) -> TextTables:
     """Tables given as lines ``path, file_name, line_no, value`` numbered from 0.
 
     Numbers must grow down a file; only those of the header must be gapless.
-    ``n_files``: the number of files, if the caller has counted them.
     """
-    return _of_lines(lines, fmt, n_files)
+    return _of_lines(lines, fmt)
 
 
 def open_files(
@@ -314,6 +303,6 @@ def open_files(
     body = F.slice("lines", F.coalesce(start, F.lit(1)), F.size("lines"))
     whole = with_layout(whole, fmt).select(*_LAYOUT, body.alias("body"))
     if not sizes["n_large"]:
-        return TextTables(fmt, whole, None, None)
+        return noted(TextTables(fmt, whole, None, None))
     lines = file_source.read_split_lines(spark, path, pattern, recursive, exclude, whole_limit)
-    return _of_lines(lines, fmt, sizes["n_large"], whole)
+    return noted(_of_lines(lines, fmt, whole))

@@ -2,17 +2,20 @@
 
 import datetime as dt
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from rimeweave.operators import guards
 from rimeweave.operators.project import STANDARD_COLUMNS
 from rimeweave.plans import campaigns as pc
 from rimeweave.plans.harmonise import campaign, harmonise, run
+from rimeweave.sources.formats import ScannedHeader, TableFormat, comma_names
 from rimeweave.sources.tables import open_files
 from rimeweave.specs import CampaignSpec
 
-from .raw_files import everything
+from .raw_files import everything, put
 from .test_functions import es
 
 
@@ -104,7 +107,18 @@ def test_attrex(spark, folders):
 
 def test_staging(spark, folders, tmp_path):
     staged = rows(spark, folders, "ATTREX", staging_path=str(tmp_path))
-    assert staged == rows(spark, folders, "ATTREX") and (tmp_path / "DLH-H2O").exists()
+    assert staged == rows(spark, folders, "ATTREX") and len(list(tmp_path.glob("*/DLH-H2O"))) == 1
+
+
+def test_campaigns_share_a_staging_folder(spark, folders, tmp_path):
+    """Instrument names of one campaign come up in another; none reads what another wrote."""
+    names = ["ATTREX", "POSIDON", "MACPEX"]
+
+    def table(**options):
+        done = harmonise(spark, [CampaignSpec(n, folders[n], options=options) for n in names])
+        return sorted(map(tuple, done.table.collect()), key=str)
+
+    assert table(staging_path=str(tmp_path)) == table()
 
 
 @pytest.mark.parametrize("name", ["IPHEX", "ISDAC", "ESCAPE"])
@@ -177,6 +191,9 @@ def test_harmonise_and_run(spark, folders, tmp_path):
     assert set(counts) == set(folders) - {"root"} and counts["MC3E"] == 3
     assert all(r.n_records > 0 for r in report.summary.collect())
     assert "Lat" in {r.column_name for r in report.missing.collect()}
+    faults = {(r.Campaign, r.file_name) for r in report.errors.collect()}
+    assert {("MC3E", "f2"), ("ARM", "broken.t4archive.gz"), ("CRYSTAL-FACE-NASA", "j2")} <= faults
+    assert {(r.Campaign, r.file_name): r.n_rows for r in report.corrupt.collect()}[("MC3E", "f1")] == 1
     back = spark.read.parquet(out)
     assert back.columns[:2] == ["Timestamp", "Tair_C"] and set(back.columns) == {*STANDARD_COLUMNS, "Tair_K", "Pressure_hPa"}
     assert back.filter(F.isnan("Si") | F.isnan("Tair_C")).count() == 0
@@ -187,3 +204,35 @@ def test_harmonise_and_run(spark, folders, tmp_path):
         run(spark, specs[:1], str(tmp_path / "x.json"))
     with pytest.raises(RuntimeError):
         harmonise(spark, specs[-2:])
+
+
+def test_a_fault_while_reading_stops_only_its_campaign(spark, folders, tmp_path):
+    def broken(spark, spec):
+        return pc.mc3e(spark, spec).withColumn("Si", F.raise_error(F.lit("bad block")).cast("double"))
+
+    pipelines = dict(pc.PIPELINES)
+    pc.PIPELINES["BROKEN"] = broken
+    try:
+        specs = [CampaignSpec("BROKEN", folders["MC3E"]), CampaignSpec("MC3E", folders["MC3E"])]
+        report = run(spark, specs, str(tmp_path / "t.parquet"))
+    finally:
+        pc.PIPELINES.clear()
+        pc.PIPELINES.update(pipelines)
+    assert set(report.failed) == {"BROKEN"} and "bad block" in report.failed["BROKEN"]
+    assert [(r.Campaign, r.n_rows) for r in report.campaigns.collect()] == [("MC3E", 3)]
+
+
+def test_late_headers_and_equal_names(spark, folders, tmp_path):
+    """A header far down is a header; files of one name in two folders are judged apart, read whole or split."""
+    for path in Path(folders["IPHEX"]).glob("*"):
+        put(tmp_path / "late" / path.name, ["# comment"] * 10_001 + path.read_text().split("\n"))
+    late = campaign(spark, CampaignSpec("IPHEX", str(tmp_path / "late")))
+    assert late.count() == len(rows(spark, folders, "IPHEX")) > 0
+    for folder, shift in (("a", 0), ("b", 273.15)):
+        lines = [f"{k},{20 + k + shift},{10 + k + shift}" for k in range(5)]
+        put(tmp_path / "two" / folder / "2014_05_06_1.iphex", ["Time,T,D", *lines])
+    fmt = TableFormat(header=ScannedHeader(lambda v: v.startswith("Time"), skip=1), names=comma_names)
+    for limit in (1, 1 << 20):
+        tables = open_files(spark, str(tmp_path / "two"), fmt, recursive=True, whole_limit=limit)
+        got = tables.guarded_rows({"t": "T"}, [guards.kelvin_guard("t")]).collect()
+        assert len(got) == 10 and all(19 < r.t < 26 for r in got)

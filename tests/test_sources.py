@@ -68,7 +68,7 @@ def test_giant_files_give_the_same(spark, folder):
         numbered = sorted((r.line_no, r.value) for r in lines.collect())
         assert [n for n, _ in numbered] == list(range(404)) and numbered[0][1] == "4, 1001"
         tables = open_files(spark, folder, ICARTT, "*.ict", whole_limit=1000)
-        assert tables.split_files == 1
+        assert tables.split_layout.count() == 1
         mixed = read(tables)
         assert len(tables.errors().collect()) == 4
     finally:
