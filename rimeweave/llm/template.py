@@ -207,27 +207,33 @@ def extract(page: Page, template: Template) -> str:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, page, n) for each token of each page; the empty token stands for the page itself."""
+    """(host, page, tokens) of each page, with how often it has each token; the empty token stands for the page itself."""
     for rows in slices(batches, "html"):
-        out: list[tuple] = []
-        for host, key, source in zip(rows.column("host").to_pylist(), rows.column("page").to_pylist(), texts_of(rows, "html")):
+        tokens: list[str] = []
+        counts: list[int] = []
+        ends = [0]
+        for source in texts_of(rows, "html"):
             page = parse(source)
-            counts = page.tokens + Counter(text_token(text) for text, _ in page.blocks)
-            out.append((host, "", key, 1))
-            out.extend((host, token, key, n) for token, n in counts.items())
-        columns = list(zip(*out))
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "token", "page", "n"])
+            found = page.tokens + Counter(text_token(text) for text, _ in page.blocks)
+            tokens.extend(["", *found])
+            counts.extend([1, *found.values()])
+            ends.append(len(tokens))
+        pairs = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(counts, pa.int32())], ["token", "n"])
+        held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+        yield pa.RecordBatch.from_arrays([rows.column("host"), rows.column("page"), held], ["host", "page", "tokens"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, pages, tokens) from (host, page, html): tokens of valid classes, each with class, pages and kind.
 
+    Rows of a host with the same `page` count once: only their tokens meet, not their HTML.
     The vector of a token over the pages of its host is held as two sums of hashes of page and count, so vectors of any
     length are compared as two numbers and are built up before the shuffle. Tokens with equal vectors form a class. A
     class is valid if it is on enough pages and has two tokens or more; texts need no partner.
     """
-    tokens = map_arrow(pages.select("host", "page", "html"), _tokens, "host string, token string, page long, n int")
+    kinds = "host string, page long, tokens array<struct<token string, n int>>"
+    tokens = map_arrow(pages.select("host", "page", "html"), _tokens, kinds)
+    tokens = tokens.groupBy("host", "page").agg(F.first("tokens").alias("tokens")).select("host", "page", F.inline("tokens"))
     vectors = tokens.groupBy("host", "token").agg(
         F.count("*").alias("on"), F.bit_xor(F.xxhash64("page", "n")).alias("x"),
         F.sum(F.xxhash64("n", "page").cast("decimal(38,0)")).alias("y"),
@@ -277,15 +283,15 @@ def main_texts(
     beyond that each page meets its template in a join in which pages of large hosts are spread.
 
     Missing and empty HTML give an empty text. Pages without a host (a missing URL) share the template of the empty
-    host. Repeated rows count as one page of their host. A host with fewer than three pages has no template; its pages
-    are read by their elements alone. Very long pages need no special care; an empty table gives an empty table.
+    host. Rows of a host with equal HTML, also under different URLs, count as one page. A host with fewer than three
+    different pages has no template; its pages are read by their elements alone. Very long pages need no special care; an empty table gives an empty table.
     Columns `text` and `n_chars` of the input are replaced.
     """
     added = ("text", "n_chars")
     passed = [c for c in df.columns if c not in added]
     host, _ = host_and_path(F.col(url_column))
     source = F.col(f"`{html_column}`")
-    pages = df.select(host.alias("host"), F.xxhash64(url_column, html_column).alias("page"), source.alias("html"))
+    pages = df.select(host.alias("host"), F.xxhash64(F.coalesce(source, F.lit(""))).alias("page"), source.alias("html"))
     found = templates(pages)
     frame = df.select(*(F.col(f"`{c}`") for c in passed), host.alias("_host"), source.alias("_html"))
     schema = T.StructType([

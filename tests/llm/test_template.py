@@ -55,6 +55,17 @@ def test_template_text_outside_articles_goes(spark):
     assert {r.page_id: r.text for r in out} == {k: f"Story {k} tells {k * k}\nMore of {k}" for k in range(12)}
 
 
+@pytest.mark.parametrize("copies, around", [(25, "article"), (4, "section")])
+def test_copies_of_a_page_count_once(spark, copies, around):
+    """Copies of a page, in repeated rows and under different URLs, do not make its texts a template."""
+    article = f"<{around}><h1>Head</h1><p>Many copies of this</p></{around}>"
+    rows = [(k, f"http://h.org/{k % 20}", article) for k in range(copies)]
+    rows += [(100 + k, f"http://h.org/o{k}", f"<{around}><p>Other {k}</p></{around}>") for k in range(2)]
+    out = template.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {k: "Head\nMany copies of this" if k < 100 else f"Other {k - 100}" for k, _, _ in rows}
+    assert {r.page_id: r.text for r in out} == want
+
+
 def test_classes_have_equal_vectors(spark):
     rows = [("h", k, f"<div><ul>{'<li>x</li>' * (k % 3)}</ul></div>") for k in range(9)]
     found = template.templates(spark.createDataFrame(rows, "host string, page long, html string")).first()
