@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter, defaultdict
@@ -157,7 +158,8 @@ def parse(source: str) -> Page:
 
 
 def text_token(text: str) -> str:
-    return "=" + text[:80] + (f"#{len(text)}" if len(text) > 80 else "")
+    """A text as a token: a long one is the hash of all of it, after a line feed, which no block of text has."""
+    return "=" + (text if len(text) <= 80 else "\n" + hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest())
 
 
 @dataclass(frozen=True)

@@ -66,6 +66,13 @@ def test_copies_of_a_page_count_once(spark, copies, around):
     assert {r.page_id: r.text for r in out} == want
 
 
+def test_texts_with_the_same_start_and_length_differ(spark):
+    start = "A long block of words that every page of this host has before the part of it that differs: " + "x" * 20
+    rows = [(k, f"http://h.org/{k}", f"<article><p>{start} {k:04}</p></article>") for k in range(24)]
+    out = template.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {k: f"{start} {k:04}" for k in range(24)}
+
+
 def test_classes_have_equal_vectors(spark):
     rows = [("h", k, f"<div><ul>{'<li>x</li>' * (k % 3)}</ul></div>") for k in range(9)]
     found = template.templates(spark.createDataFrame(rows, "host string, page long, html string")).first()
