@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import HOT_KEYS, attach, map_arrow, written
 
-#: Members outside the largest class of a bucket that are broadcast and compared in one round (about 5 MB).
+#: Centres of a bucket that one task holds at once (about 2.5 MB).
 AT_ONCE = 8192
 
 
@@ -63,48 +62,47 @@ def _larger_first(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b").distinct()
 
 
-@dataclass(frozen=True)
-class Waiting:
-    """Members that are compared in one round: ids, signatures as a matrix, who is in which bucket, and classes."""
-
-    ids: list
-    signatures: np.ndarray
-    keys: np.ndarray     # sorted
-    owners: np.ndarray   # who has the key
-    codes: dict          # class -> number
-    numbers: np.ndarray  # number of the class of each
-
-    @classmethod
-    def of(cls, rows: list) -> Waiting:
-        keys = np.array([key for row in rows for key in row["bands"]], np.int64)
-        owners = np.repeat(np.arange(len(rows)), [len(row["bands"]) for row in rows])
-        order = np.argsort(keys, kind="stable")
-        signatures = np.frombuffer(b"".join(row["signature"] for row in rows), "<u2").reshape(len(rows), -1)
-        codes: dict = {}
-        numbers = np.array([codes.setdefault(row["class"], len(codes)) for row in rows], np.int64)
-        return cls([row["id"] for row in rows], signatures, keys[order], owners[order], codes, numbers)
-
-
-def _screened(shared, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a row and a waiting member of one of its buckets and another class, if enough of their signatures agree."""
-    waiting: Waiting = shared.value
+def _pairs(rows: pa.Table, least: float) -> tuple[list, list]:
+    """Pairs (centre, member) of one part of a bucket whose classes differ and whose signatures agree in enough places."""
+    order = np.argsort(~rows.column("centre").to_numpy(), kind="stable")
+    n_centres = int(rows.column("centre").to_numpy().sum())
+    if not n_centres or n_centres == len(order):
+        return [], []
+    ids, of = rows.column("id").to_pylist(), rows.column("class").to_pylist()
+    codes: dict = {}
+    numbers = np.array([codes.setdefault(one, len(codes)) for one in of])[order]
+    signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u2").reshape(len(ids), -1)[order]
+    members, left, right = signatures[n_centres:], [], []
+    for at in range(n_centres):
+        others = np.flatnonzero(numbers[n_centres:] != numbers[at])
+        near = others[(members[others] == signatures[at]).mean(axis=1) >= least] if len(others) else others
+        right.extend(ids[order[n_centres + o]] for o in near.tolist())
+        left.extend([ids[order[at]]] * len(near))
+    return left, right
+
+
+def _screened(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same for rows that are sorted by bucket and part; a part may go on in the next batch."""
+    held, last = [], None
     for batch in batches:
-        keys = batch.column("bands").flatten().to_numpy()
-        ends = np.cumsum(np.concatenate([[0], batch.column("bands").value_lengths().to_numpy()]))
-        low, high = np.searchsorted(waiting.keys, keys, "left"), np.searchsorted(waiting.keys, keys, "right")
-        met = np.flatnonzero(np.add.reduceat(np.append(high - low, 0), ends[:-1]) > 0) if batch.num_rows else []
-        ids, classes = batch.column("id").to_pylist(), batch.column("class").to_pylist()
-        signatures = batch.column("signature").to_pylist()
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("key", "part", "block")], axis=1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
         left, right = [], []
-        for row in met:
-            others = np.unique(np.concatenate([waiting.owners[low[k] : high[k]] for k in range(ends[row], ends[row + 1])]))
-            others = others[waiting.numbers[others] != waiting.codes.get(classes[row], -1)]
-            if len(others):
-                agree = (waiting.signatures[others] == np.frombuffer(signatures[row], "<u2")).mean(axis=1)
-                right.extend(waiting.ids[o] for o in others[agree >= least].tolist())
-                left.extend([ids[row]] * (len(right) - len(left)))
+        for start, end in zip(edges, edges[1:]):
+            if held and tuple(keys[start]) != last:
+                for out, more in zip((left, right), _pairs(pa.Table.from_batches(held), least)):
+                    out.extend(more)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = tuple(keys[start])
         kind = batch.schema.field("id").type
         yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], ["id", "other"])
+    if held:
+        kind = held[0].schema.field("id").type
+        left, right = _pairs(pa.Table.from_batches(held), least)
+        yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], ["id", "other"])
 
 
 def bucket_classes(
@@ -113,40 +111,61 @@ def bucket_classes(
     """Classes (id, class) of members (id, bands, signature) that share a band and pass `verify`, and the links (a, b).
 
     `verify` keeps those rows of (a, b) whose ids are linked. First every member of a bucket is compared with the
-    smallest one. Then each member that shares a bucket with another class, other than the largest there, is compared
-    with the rest: `at_once` of them are broadcast with their signatures (16 bits a coordinate) and meet all members in
-    their buckets, and pairs whose signatures agree in a share of `least` or more go to `verify`. This ends when every
-    such member was compared or all buckets are of one class. So links between members that both differ from the
-    smallest one are found too, and members of one class are never compared pair by pair.
+    smallest one, which then leaves the bucket. Members outside the largest class of what is left wait. In each round
+    some of the waiting, four times as many a bucket as in the round before, are centres: they meet the others of their
+    buckets in tasks that compare signatures (16 bits a coordinate), pairs that agree in a share of `least` or more and
+    have not been verified yet go to `verify`, and the centres leave. This ends when what is left of every bucket is one
+    class, after about log4 of the largest number that waits. So links between members that both differ from the
+    smallest one are found too, and members of one class are hardly compared pair by pair. Large buckets are cut into
+    parts of `at_once` centres and an eighth as many members. Nothing but counts goes to the driver.
     """
     buckets = members.select("id", F.explode("bands").alias("key")).distinct()
     sized = buckets.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     total = members.agg(F.sum(F.size("bands"))).first()[0] or 1
     buckets = written(attach(buckets, sized, "key", "n", total, "id").filter("first is not null"), "buckets")
     total = max(1, buckets.count())
-    members = written(members.join(buckets.select("id").distinct(), "id", "left_semi"), "members")
-    links = written(verify(_larger_first(buckets, "id", "first")), "links")
+    tried = written(_larger_first(buckets, "id", "first"), "tried")
+    links = written(verify(tried), "links")
     found = written(classes(links), "classes")
-    done = buckets.select("id").limit(0)
+    kind = members.schema["id"]
+    schema = T.StructType([kind, T.StructField("other", kind.dataType)])
+    rest, share = buckets.filter("id != first").select("key", "id"), 4
+    some = max(1, at_once // 8)
     while True:
-        mapped = buckets.select("key", "id").join(found, "id", "left").withColumn("class", F.coalesce("class", "id"))
+        mapped = rest.join(found, "id", "left").withColumn("class", F.coalesce("class", "id"))
         parts = mapped.groupBy("key", "class").agg(F.count("*").alias("size"))
         largest = parts.groupBy("key").agg(
             F.max(F.struct("size", "class")).alias("most"), F.count("*").alias("classes"), F.sum("size").alias("weight")
-        ).filter("classes > 1").select("key", F.col("most.class").alias("main"), "weight")
-        open_ = attach(mapped, largest, "key", "weight", total, "id").filter("main is not null and class != main")
-        ids = open_.select("id").distinct().join(done, "id", "left_anti")
-        chosen = written(ids.orderBy("id").limit(at_once), "waiting")
-        classed = members.join(found, "id", "left").withColumn("class", F.coalesce("class", "id"))
-        rows = classed.join(F.broadcast(chosen), "id").collect()
-        if not rows:
+        ).filter("classes > 1").select(
+            "key", F.col("most.class").alias("main"), (F.col("weight") - F.col("most.size")).alias("waits"), "weight"
+        )
+        open_ = attach(mapped, largest, "key", "weight", total, "id").filter("main is not null")
+        draw = F.pmod(F.xxhash64("id", F.lit(share)), F.lit(1 << 30)) < F.lit(float(share)) / F.col("waits") * (1 << 30)
+        open_ = open_.withColumn("centre", (F.col("class") != F.col("main")) & draw)
+        open_ = written(open_.select("key", "id", "class", "waits", "weight", "centre"), "open")
+        if open_.isEmpty():
             return found, links
-        shared = members.sparkSession.sparkContext.broadcast(Waiting.of(rows))
-        kind = members.schema["id"]
-        schema = T.StructType([kind, T.StructField("other", kind.dataType)])
-        near = map_arrow(classed.select("id", "class", "bands", "signature"), partial(_screened, shared, least), schema)
-        more = written(verify(_larger_first(near, "id", "other")), "links")
-        done = written(done.unionAll(chosen), "done")
+        rest = open_.filter("not centre").select("key", "id")
+        drawn = open_.filter("centre").groupBy("key").agg(F.count("*").alias("centres"))
+        weights = open_.groupBy("key").agg(F.count("*").alias("weight"))
+        drawn = drawn.join(weights, "key").select("key", "centres", "weight")
+        met = attach(open_.drop("weight"), drawn, "key", "weight", total, "id").filter("centres is not null")
+        n_parts, n_blocks = F.ceil(F.col("weight") / some), F.ceil(F.col("centres") / at_once)
+        met = met.withColumn("_part", F.pmod(F.xxhash64("id"), n_parts)).withColumn("_block", F.pmod(F.xxhash64("id", F.lit(1)), n_blocks))
+        signed = met.join(members.select("id", "signature"), "id")
+        columns = ("key", "part", "block", "centre", "id", "class", "signature")
+        # members meet every block of centres in their part, centres every part in their block
+        as_members = signed.withColumn("part", F.col("_part")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+        as_centres = signed.filter("centre").withColumn("block", F.col("_block")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), n_parts - 1)))
+        dealt = as_members.withColumn("centre", F.lit(False)).select(*columns).unionAll(as_centres.select(*columns))
+        dealt = dealt.repartition("key", "part", "block").sortWithinPartitions("key", "part", "block")
+        near = _larger_first(map_arrow(dealt, partial(_screened, least), schema), "id", "other")
+        near = written(near.join(tried, ["a", "b"], "left_anti"), "near")
+        share *= 4
+        if near.isEmpty():
+            continue
+        tried = tried.unionAll(near)
+        more = written(verify(near), "links")
         if not more.isEmpty():
             links = written(links.unionAll(more).distinct(), "links")
             found = written(classes(links), "classes")

@@ -115,3 +115,28 @@ def test_no_link_between_classes_of_a_bucket_is_lost(spark):
         found, links = bucket_classes(members, 1.0, near, at_once)
         assert {r["id"]: r["class"] for r in found.collect()} == {k: k // 10 * 10 for k in [*range(30), 50, 51]}
     assert links.filter("a <= b").count() == 0
+
+
+def test_waiting_members_do_not_go_through_the_driver(spark, monkeypatch):
+    """Many groups that all fail against the first member of one bucket, found while nothing is collected."""
+    rows = [(k, [1], bytes([k // 10, 0]) * 8) for k in range(300)]
+    members = spark.createDataFrame(rows, "id long, bands array<long>, signature binary")
+    near = lambda df: df.filter(F.floor(F.col("a") / 10) == F.floor(F.col("b") / 10))
+    compared = []
+
+    def verify(pairs):
+        compared.extend([pairs.count()])
+        return near(pairs)
+
+    collect = type(members).collect
+
+    def small(df):
+        got = collect(df)
+        assert len(got) <= 1
+        return got
+
+    monkeypatch.setattr(type(members), "collect", small)
+    found, _ = bucket_classes(members, 1.0, verify, 800)
+    monkeypatch.undo()
+    assert {r["id"]: r["class"] for r in found.collect()} == {k: k // 10 * 10 for k in range(300)}
+    assert len(compared) < 12 and sum(compared) < 300 * 10
