@@ -88,7 +88,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("id"), *sums, bands, short], ["id", "c1", "c2", "bands", "signature"])
 
 
-def _compared(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(threshold: float, weighted: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(iter([batch]), "text_a"):
             sides = []
@@ -96,6 +96,7 @@ def _compared(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[p
                 texts = texts_of(part, side)
                 distinct = {text: at for at, text in enumerate(dict.fromkeys(texts))}
                 owners, hashes, counts = weighted_sets(list(distinct))
+                counts = counts if weighted else np.ones_like(counts)
                 ends = np.searchsorted(owners, np.arange(len(distinct) + 1))
                 sets = [(hashes[i:j], counts[i:j]) for i, j in zip(ends, ends[1:])]
                 sides.append([sets[distinct[text]] for text in texts])
@@ -103,14 +104,14 @@ def _compared(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[p
             yield part.filter(pa.array(similar, pa.bool_())).select(["a", "b"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those pairs (a, b) whose texts (id, text) have a weighted Jaccard similarity of `threshold` or more."""
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, weighted: bool = True) -> DataFrame:
+    """Those pairs (a, b) whose texts (id, text) have a Jaccard similarity of `threshold` or more, by default weighted."""
     pairs = written(pairs, "pairs")
     total = pairs.count()
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     met = salted_join(left, right, "b", "a", total).select("a", "b", "text_a", "text_b")
-    return map_arrow(met, partial(_compared, threshold), pairs.schema)
+    return map_arrow(met, partial(_compared, threshold, weighted), pairs.schema)
 
 
 def candidates(contents: DataFrame) -> DataFrame:

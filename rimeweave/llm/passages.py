@@ -170,7 +170,7 @@ def repeated_paragraphs(texts: DataFrame, threshold: float) -> DataFrame:
             wanted = met.groupBy("id").agg(F.collect_list(F.struct("word", "content")).alias("wanted"))
             lines = map_arrow(texts.join(wanted, "id").select("text", "wanted"), _lines, "id long, text string")
             held.append(written(lines.dropDuplicates(["id"]), "lines"))
-        return verified(pairs, held[0], threshold)
+        return verified(pairs, held[0], threshold, weighted=False)
 
     members = contents.select(F.col("content").alias("id"), "bands", "signature")
     found, _ = bucket_classes(members, LEAST_AGREEMENT, verify)

@@ -1,9 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rimeweave.llm import passages
-from rimeweave.llm.darts import SIMILARITY
+from rimeweave.llm.darts import SIMILARITY, verified
 from rimeweave.llm.passages import PASSAGE, find_repeats, merged, remove_repeats
 
 
@@ -71,3 +72,13 @@ def test_repeats_in_one_document_and_empty_table(documents):
     assert [(r.n_removed >= 100, r.copies_of) for r in rows] == [(True, []), (True, [])]
     assert find_repeats(documents((1, "a")).limit(0)).count() == 0
     assert merged([(5, 3), (0, 2), (7, 4), (2, 1)]) == [(0, 3), (5, 6)] and passages.SIMILARITY == 0.8
+
+
+def test_paragraphs_are_compared_as_sets_of_shingles(documents):
+    """The same phrase three times and twice: equal sets, apart from the few shingles of the seams."""
+    phrase = line(random.Random(16), 40)
+    texts = documents((1, " ".join(phrase * 3)), (2, " ".join(phrase * 2))).select(F.col("doc_id").alias("id"), "text")
+    pairs = texts.sparkSession.createDataFrame([(2, 1)], "a long, b long")
+    assert verified(pairs, texts, SIMILARITY, weighted=False).count() == 1 and verified(pairs, texts, SIMILARITY).count() == 0
+    rows = passages.repeated_paragraphs(texts, SIMILARITY).collect()
+    assert {(r.id, r.first.id) for r in rows} == {(1, 1), (2, 1)}
