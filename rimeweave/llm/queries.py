@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import darts, exact, passages, pieces, quality, records, suffixes, template, toxic, urls
+from . import darts, exact, jaccard, passages, pieces, quality, records, suffixes, template, toxic, urls
 from .common import is_training, shared_folder
 
 #: Rules of the URL query: verdict, host, path.
@@ -89,6 +89,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return darts.near_duplicates(documents).drop("text")
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard.jaccard_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: value for name, value in list(globals().items()) if name[:2] == "op" and name[2].isdigit() and callable(value)
 }
@@ -164,4 +169,30 @@ ORACLE: dict[str, str] = {
                case when rule in ('net/', 'example.com/de/') then 'block' else 'allow' end as verdict
         from w
     """,
+    "op12_ngram_join": r"""
+        with recursive d as materialized (
+            select doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') as w
+            from documents
+        ), starts as (
+            select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as k from d where len(w) > 0
+        ), grams as materialized (
+            select distinct doc_id, array_to_string(w[k:k + 3], ' ') as gram from starts
+        ), sizes as materialized (
+            select doc_id, count(*) as n from grams group by doc_id
+        ), shared as (
+            select a.doc_id as x, b.doc_id as y, count(*) as n
+            from grams a join grams b on a.gram = b.gram and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id
+        ), links as materialized (
+            select x, y from shared s join sizes a on a.doc_id = s.x join sizes b on b.doc_id = s.y
+            where 100 * s.n >= 85 * (a.n + b.n - s.n)
+        ), reached as (
+            select doc_id, doc_id as other from d union select r.doc_id, l.y from reached r join links l on l.x = r.other
+        ), least as (
+            select doc_id, min(other) as component_id from reached group by doc_id
+        )
+        select d.doc_id, coalesce(n, 0) as n_shingles, component_id
+        from d left join sizes using (doc_id) join least using (doc_id)
+    """,
 }

@@ -25,9 +25,15 @@ def powers(base: int, count: int) -> np.ndarray:
     return np.cumprod(factors, dtype=U64)
 
 
-def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words (separated by ASCII white space) of all texts, and where each text starts."""
-    parts = [text.lower().encode("utf-8", "replace") for text in texts]
+def word_hashes(texts: Sequence[str], ascii_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words (separated by ASCII white space) of all texts, and where each text starts.
+
+    With `ascii_only`, only A-Z are lower-cased.
+    """
+    if ascii_only:
+        parts = [text.encode("utf-8", "replace").lower() for text in texts]
+    else:
+        parts = [text.lower().encode("utf-8", "replace") for text in texts]
     data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     before = np.concatenate([[True], blank[:-1]])

@@ -17,10 +17,10 @@ def test_against_sql(spark, name):
 
 def test_all_operators_are_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11)) and set(QUERIES) | {"pipeline"} <= set(entry.queries())
+    assert numbers == list(range(1, 14)) and set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["op9_substring_dedup", "op10_near_dedup"])
+@pytest.mark.parametrize("name", ["op9_substring_dedup", "op10_near_dedup", "op12_ngram_join"])
 def test_a_row_for_every_document(spark, name):
     got = QUERIES[name](spark, SF)
     assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(
