@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import darts, exact, jaccard, passages, pieces, quality, records, suffixes, template, toxic, urls
+from . import darts, exact, jaccard, passages, pieces, quality, records, suffixes, template, toxic, urls, whitening
 from .common import is_training, shared_folder
 
 #: Rules of the URL query: verdict, host, path.
@@ -89,6 +89,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return darts.near_duplicates(documents).drop("text")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whitened_rows(embeddings, whitening.fit_whitening(embeddings))
+
+
 def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = jaccard.jaccard_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return joined.select("doc_id", "n_shingles", "component_id")
