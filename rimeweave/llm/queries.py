@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import darts, exact, jaccard, passages, pieces, quality, records, suffixes, template, toxic, urls, whitening
+from . import (
+    darts, divergence, exact, jaccard, passages, pieces, quality, records, suffixes, template, toxic, urls, whitening,
+)
 from .common import is_training, shared_folder
 
 #: Rules of the URL query: verdict, host, path.
@@ -99,6 +101,10 @@ def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: value for name, value in list(globals().items()) if name[:2] == "op" and name[2].isdigit() and callable(value)
 }
@@ -200,4 +206,49 @@ ORACLE: dict[str, str] = {
         select d.doc_id, coalesce(n, 0) as n_shingles, component_id
         from d left join sizes using (doc_id) join least using (doc_id)
     """,
+    "op13_divergence": r"""
+        with d as materialized (
+            select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                   regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+            from documents
+        ), words as (
+            select doc, lang, source, unnest(w) as term from d
+        ), kept as materialized (
+            select lang, term, count(*) as n from words group by lang, term having count(distinct doc) >= 10
+        ), langs as (
+            select lang, sum(n) as total, count(*) as v from kept group by lang
+        ), q as materialized (
+            select k.lang, term, 1 + (1000000000 * (n + 2)::hugeint) // (total + 2 * v)::hugeint as q
+            from kept k join langs l on l.lang = k.lang
+        ), used as materialized (
+            select lang, source, term, count(*) as n from words join kept using (lang, term) group by lang, source, term
+        ), groups as materialized (
+            select distinct lang, source from d
+        ), totals as (
+            select lang, source, sum(n) as total from used group by lang, source
+        ), p as materialized (
+            select g.lang, g.source, k.term, coalesce(u.n, 0) as n,
+                   1 + (1000000000 * (coalesce(u.n, 0) + 2)::hugeint) // (coalesce(t.total, 0) + 2 * l.v)::hugeint as p
+            from groups g join kept k on k.lang = g.lang join langs l on l.lang = g.lang
+            left join totals t on t.lang = g.lang and t.source = g.source
+            left join used u on u.lang = g.lang and u.source = g.source and u.term = k.term
+        ), pairs as (
+            select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+            from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+            group by a.lang, a.source, b.source
+        ), every_pair as (
+            select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+            from groups a join groups b on a.lang = b.lang and a.source <> b.source
+            left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+        ), terms as (
+            select p.lang, p.source, 'term' as part, p.term as item, ((p - q) * (p - q) // (p + q))::bigint as value
+            from p join q on q.lang = p.lang and q.term = p.term where n > 0 and p > q
+        ), ranked as (
+            select *, row_number() over (partition by lang, source, part order by value desc, item)::integer as rank
+            from (select * from every_pair union all select * from terms)
+        )
+        select * from ranked where part = 'pair' or rank <= 10
+    """,
 }
