@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import partial
 
@@ -15,37 +15,43 @@ from .common import map_arrow, slices, texts_of, written
 
 #: fixed values: a term is a run of letters, with A-Z in lower case
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-LOWER = {upper: upper + 32 for upper in range(ord("A"), ord("Z") + 1)}
 #: Documents of a language that a kept term is in, parts of a whole share, and ranks of terms.
 LEAST_DOCUMENTS, PARTS, TOP = 10, 1_000_000_000, 10
 #: Terms and groups of a tile of the matrix. A node of the quadtree has SPLIT x SPLIT quadrants.
 TILE_TERMS, TILE_GROUPS, SPLIT = 4096, 64, 2
 #: Distinct (group, term) counts that a task gathers before it sends them on.
-GATHERED = 200_000
+GATHERED = 400_000
+
+
+def terms_of(text: str) -> list[str]:
+    return TERM.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, source, term, n, documents) of a task's texts, added up as far as memory is bounded."""
-    uses: Counter = Counter()
-    documents: Counter = Counter()
-
-    def sent() -> pa.RecordBatch:
-        keys = list(uses)
-        columns = [pa.array([key[at] for key in keys], pa.string()) for at in range(3)]
-        counts = [pa.array([held[key] for key in keys], pa.int64()) for held in (uses, documents)]
-        return pa.RecordBatch.from_arrays([*columns, *counts], ["lang", "source", "term", "n", "documents"])
+    uses: dict[tuple, Counter] = defaultdict(Counter)
+    documents: dict[tuple, Counter] = defaultdict(Counter)
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for (lang, source), held in uses.items():
+            names, count = list(held), len(held)
+            group = [pa.array([one], pa.string()).take(pa.array(np.zeros(count, np.int32))) for one in (lang, source)]
+            in_documents = documents[lang, source]
+            counts = [pa.array(list(held.values()), pa.int64()), pa.array([in_documents[name] for name in names], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*group, pa.array(names, pa.string()), *counts], ["lang", "source", "term", "n", "documents"])
+        uses.clear()
+        documents.clear()
 
     for batch in batches:
         for part in slices(iter([batch]), "text"):
             for lang, source, text in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), texts_of(part, "text")):
-                for term, n in Counter(TERM.findall(text.translate(LOWER))).items():
-                    uses[lang, source, term] += n
-                    documents[lang, source, term] += 1
-            if len(uses) > GATHERED:
-                yield sent()
-                uses, documents = Counter(), Counter()
-    if uses:
-        yield sent()
+                terms = terms_of(text)
+                if terms:
+                    uses[lang, source].update(terms)
+                    documents[lang, source].update(set(terms))
+            if sum(map(len, uses.values())) > GATHERED:
+                yield from sent()
+    yield from sent()
 
 
 def zero_tree(rows: np.ndarray, columns: np.ndarray, height: int) -> list[np.ndarray]:
@@ -127,23 +133,22 @@ def tile_sums(
 def _tiles(in_block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (lang, i, j, tile): sums of gaps of all pairs of groups of blocks i and j, one row per pair and
     task as long as the blocks stay the same."""
-    held: list[tuple] = []
+    held: list[pa.RecordBatch] = []
     now = None
     sums: dict = {}
 
     def add() -> None:
-        lang, i, j, _ = now
-        heads = {g: (zero, width) for g, term, zero, width in held if term is None}
-        numbers = sorted(heads)
-        place = {g: at for at, g in enumerate(numbers)}
-        names: dict = {}
-        cells = [(place[g], names.setdefault(term, len(names)), p) for g, term, p, _ in held if term is not None]
-        rows, columns, shares = (np.array(x, np.int64) for x in zip(*cells)) if cells else (np.zeros(0, np.int64),) * 3
-        zero = np.array([heads[g][0] for g in numbers], np.int64)
-        of = np.array(numbers) // in_block
-        left, right = np.flatnonzero(of == i), np.flatnonzero(of == j)
-        found = tile_sums(rows, columns, shares, zero, heads[numbers[0]][1], left, right)
-        key = (lang, i, j, tuple(numbers[k] for k in left), tuple(numbers[k] for k in right))
+        rows = pa.Table.from_batches(held)
+        g, p, widths = (rows.column(c).to_numpy() for c in ("g", "p", "width"))
+        heads = rows.column("term").is_null().to_numpy()
+        by_number = np.flatnonzero(heads)[np.argsort(g[heads])]
+        numbers = g[by_number]
+        names = rows.column("term").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        places = np.searchsorted(numbers, g[~heads])
+        left, right = (np.flatnonzero(numbers // in_block == block) for block in now[1:3])
+        columns = names[~heads].astype(np.int64)
+        found = tile_sums(places, columns, p[~heads], p[by_number], int(widths[by_number[0]]), left, right)
+        key = (*now[:3], tuple(numbers[left].tolist()), tuple(numbers[right].tolist()))
         sums[key] = sums.get(key, 0) + found
 
     def sent() -> pa.RecordBatch:
@@ -157,16 +162,20 @@ def _tiles(in_block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["lang", "a", "b", "value"])
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("lang", "i", "j", "tile", "g", "term", "p", "width")]
-        for lang, i, j, tile, g, term, p, width in zip(*columns):
-            if (lang, i, j, tile) != now:
-                if held:
-                    add()
-                    held = []
-                    if (lang, i, j) != now[:3] and len(sums) >= 16:
-                        yield sent()
-                now = (lang, i, j, tile)
-            held.append((g, term, p, width))
+        if not batch.num_rows:
+            continue
+        lang = batch.column("lang").dictionary_encode()
+        marks = np.stack([lang.indices.to_numpy(zero_copy_only=False), *(batch.column(c).to_numpy() for c in ("i", "j", "tile"))])
+        edges = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(edges, edges[1:]):
+            key = (lang.dictionary[int(marks[0, start])].as_py(), *marks[1:, start].tolist())
+            if held and key != now:
+                add()
+                held = []
+                if key[:3] != now[:3] and len(sums) >= 16:
+                    yield sent()
+            now = key
+            held.append(batch.slice(start, end - start))
     if held:
         add()
         yield sent()
