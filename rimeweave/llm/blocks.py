@@ -106,8 +106,8 @@ def _linked(sets: Sets, share: Fraction, batches: Iterator[pa.RecordBatch]) -> I
     def multiplied() -> pa.RecordBatch:
         texts = [one[4] for one in held]
         owners, elements = sets(texts)
-        right = np.stack(set_hashes(owners, elements, len(texts))) == np.array([one[2:4] for one in held], np.int64).reshape(-1, 2).T
-        right = right.all(axis=0)
+        hashes = zip(*(x.tolist() for x in set_hashes(owners, elements, len(texts))))
+        right = np.array([one[2] is None or one[2:4] == found for one, found in zip(held, hashes)])
         begins = [at for at, one in enumerate(held) if not at or one[0] != held[at - 1][0]] + [len(held)]
         starts = np.searchsorted(owners, begins)
         keys, tops, links = [], [], []
@@ -141,8 +141,8 @@ def block_links(contents: DataFrame, texts: DataFrame, near: DataFrame, sets: Se
     """Links (a, b, n) between contents whose sets have a Jaccard similarity of `share` or more, as stars.
 
     `contents` has a row (key, node, id, n, c1, c2) per distinct set: the two hashes of the set, a text key, the number
-    that stands for it in `near`, the id of a row of `texts` (id, text) with this set, and its size. `near` (a, b)
-    connects nodes so that any two that can be linked are connected. What it connects is one class, cut into blocks of
+    that stands for it in `near`, the id of a row of `texts` (id, text) with this set, and its size; without hashes any
+    text with the id will do. `near` (a, b) connects nodes so that any two that can be linked are connected. What it connects is one class, cut into blocks of
     bounded size; every pair of blocks of a class is one product in one task. A row of the result says that `a` has `n`
     links in its product and is connected there with `b`, so its rows grow with contents and never with pairs.
     """

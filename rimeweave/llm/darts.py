@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Iterator, Sequence
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .blocks import block_links, set_hashes
 from .common import attach, map_arrow, slices, texts_of, written
-from .links import bucket_classes, is_first, salted_join
-from .shingles import U64, mix, weighted_jaccard, weighted_sets
+from .links import classes, is_first, stars
+from .shingles import U64, mix, weighted_sets
 
 #: At a similarity of 0.8 a pair meets in at least one of 25 bands of 6 with a probability of 99.95 %.
 BANDS, ROWS = 25, 6
 SIMILARITY = 0.8
-#: Four standard deviations below that, as 150 coordinates estimate it: 99.99 % of such pairs agree in a larger share.
-LEAST_AGREEMENT = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5
 
 
 def signatures(owners: np.ndarray, elements: np.ndarray, weights: np.ndarray, count: int, size: int) -> np.ndarray:
@@ -67,8 +66,21 @@ def signatures(owners: np.ndarray, elements: np.ndarray, weights: np.ndarray, co
         active = np.flatnonzero(missing[owner])
 
 
+def numbered(owners: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of (element, number) with one number for each time an element is in a weighted set.
+
+    The Jaccard similarity of these sets is the weighted one of the counts.
+    """
+    times = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.repeat(owners, counts), mix(np.repeat(hashes, counts) + times.astype(U64) * U64(0x8CB92BA72F3D8DD7))
+
+
+def numbered_sets(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    return numbered(*weighted_sets(texts))
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: two hashes of its weighted set (NULL without shingles) and the keys of its bands."""
+    """Per document: two hashes of its weighted set (NULL without shingles), its weight, and the keys of its bands."""
     for part in slices(batches, "text"):
         texts = texts_of(part, "text")
         owners, hashes, counts = weighted_sets(texts)
@@ -77,50 +89,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(ROWS):
             keys = mix(keys + signed[:, at::ROWS] + U64(at))
         keys = mix(keys + np.arange(BANDS, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
-        full = np.bincount(owners, minlength=len(texts)) > 0
-        sums = []
-        for seed in (1, 2):
-            total = np.zeros(len(texts), U64)
-            np.add.at(total, owners, mix(hashes * U64(2 * seed + 1) + counts.astype(U64) * U64(0x8CB92BA72F3D8DD7)))
-            sums.append(pa.array(total.view(np.int64), mask=~full))
+        owners, elements = numbered(owners, hashes, counts)
+        sizes = np.bincount(owners, minlength=len(texts))
+        sums = [pa.array(x, mask=sizes == 0) for x in set_hashes(owners, elements, len(texts))]
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
-        short = pa.array([row.tobytes() for row in signed.astype("<u2")], pa.binary())
-        yield pa.RecordBatch.from_arrays([part.column("id"), *sums, bands, short], ["id", "c1", "c2", "bands", "signature"])
-
-
-def _compared(threshold: float, weighted: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(iter([batch]), "text_a"):
-            sides = []
-            for side in ("text_a", "text_b"):
-                texts = texts_of(part, side)
-                distinct = {text: at for at, text in enumerate(dict.fromkeys(texts))}
-                owners, hashes, counts = weighted_sets(list(distinct))
-                counts = counts if weighted else np.ones_like(counts)
-                ends = np.searchsorted(owners, np.arange(len(distinct) + 1))
-                sets = [(hashes[i:j], counts[i:j]) for i, j in zip(ends, ends[1:])]
-                sides.append([sets[distinct[text]] for text in texts])
-            similar = [weighted_jaccard(a, b) >= threshold for a, b in zip(*sides)]
-            yield part.filter(pa.array(similar, pa.bool_())).select(["a", "b"])
-
-
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float, weighted: bool = True) -> DataFrame:
-    """Those pairs (a, b) whose texts (id, text) have a Jaccard similarity of `threshold` or more, by default weighted."""
-    pairs = written(pairs, "pairs")
-    total = pairs.count()
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    met = salted_join(left, right, "b", "a", total).select("a", "b", "text_a", "text_b")
-    return map_arrow(met, partial(_compared, threshold, weighted), pairs.schema)
-
-
-def candidates(contents: DataFrame) -> DataFrame:
-    """Ids of contents that share a band with another one."""
-    keys = contents.select(F.col("content").alias("id"), F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
-    shared = shared.filter("least != most")
-    total = max(1, contents.count())
-    return attach(keys, shared, "key", "n", BANDS * total, "id").filter("least is not null").select("id").distinct()
+        yield pa.RecordBatch.from_arrays([part.column("id"), *sums, pa.array(sizes), bands], ["id", "c1", "c2", "weight", "bands"])
 
 
 def near_duplicates(
@@ -140,33 +113,29 @@ def near_duplicates(
     added = ("class_id", "class_size", "n_links", "kept")
     passed = [F.col(f"`{c}`") for c in df.columns if c not in added]
     texts = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).filter("id is not null")
-    schema = T.StructType([
-        texts.schema["id"], T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()),
-        T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType()),
-    ])
-    signed = written(map_arrow(texts, _signed, schema).filter("c1 is not null"), "signatures")
-    first = F.min(F.struct("id", "bands", "signature")).alias("first")
-    contents = written(signed.groupBy("c1", "c2").agg(first, F.count("*").alias("n")), "contents")
-    contents = contents.select("c1", "c2", F.col("first.id").alias("content"), "first.bands", "first.signature", "n")
-    held: list[DataFrame] = []
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Texts of all documents that share a band are set aside at the first call."""
-        if not held:
-            held.append(written(texts.join(candidates(contents), "id", "left_semi"), "texts"))
-        return verified(pairs, held[0], threshold)
-
-    members = contents.select(F.col("content").alias("id"), "bands", "signature")
-    found, links = bucket_classes(members, LEAST_AGREEMENT, verify)
-
-    ends = links.select(F.explode(F.array("a", "b")).alias("_end")).groupBy("_end").agg(F.count("*").alias("n_links"))
-    known = contents.select("c1", "c2", "content", "n")
-    classed = known.join(found, F.col("content") == F.col("id"), "left").drop("id")
-    classed = classed.withColumn("class", F.coalesce("class", "content"))
-    classed = classed.join(ends, F.col("content") == F.col("_end"), "left").drop("_end")
+    kind = texts.schema["id"].dataType.simpleString()
+    signed = map_arrow(texts, _signed, f"id {kind}, c1 long, c2 long, weight long, bands array<long>")
+    signed = written(signed.filter("c1 is not null"), "signatures")
+    first = F.min(F.struct("id", "weight", "bands")).alias("first")
+    contents = written(signed.groupBy("c1", "c2").agg(first, F.count("*").alias("copies")), "contents")
+    contents = contents.select(
+        "c1", "c2", "first.id", F.col("first.weight").alias("n"), "first.bands", "copies",
+        F.concat_ws("/", "c1", "c2").alias("key"), F.col("c1").alias("node"),
+    )
+    buckets = contents.select("node", F.explode("bands").alias("key"))
+    near = stars(buckets, BANDS * max(1, contents.count()))
+    links = block_links(contents.drop("bands", "copies"), texts, near, numbered_sets, Fraction(str(threshold)))
+    found = classes(links.select("a", "b")).select(F.col("id").alias("key"), F.col("class").alias("_class"))
+    ends = links.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
+    classed = contents.select("key", "id", "copies").join(found, "key", "left").join(ends, "key", "left")
+    classed = classed.withColumn("_class", F.coalesce("_class", "key"))
+    least = classed.groupBy("_class").agg(F.min("id").alias("class"), F.count("*").alias("_members"))
+    classed = attach(classed, least, "_class", "_members", max(1, classed.count()), "key").select(
+        F.col("key").alias("_key"), "class", F.col("copies").alias("n"), "n_links"
+    )
     key = F.concat_ws("/", "c1", "c2")
     total = max(1, signed.count())
-    members = attach(signed.select("id", key.alias("_key")), classed.select(key.alias("_key"), "class", "n", "n_links"), "_key", "n", total, "id")
+    members = attach(signed.select("id", key.alias("_key")), classed, "_key", "n", total, "id")
     members = members.groupBy("id").agg(F.min("class").alias("class"), F.max("n_links").alias("n_links"))
     sizes = members.groupBy("class").agg(F.count("*").alias("class_size"))
     members = attach(members, sizes, "class", "class_size", total, "id").select(

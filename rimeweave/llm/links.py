@@ -1,34 +1,21 @@
-"""Links between the members of buckets, and the classes that links form, without all pairs of a bucket."""
+"""Buckets, and the classes that links form, without all pairs of a bucket."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import partial
+from pyspark.sql import Column, DataFrame, functions as F
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from .common import attach, written
 
-from .common import HOT_KEYS, attach, map_arrow, written
 
-#: Centres of a bucket that one task holds at once (about 2.5 MB).
-AT_ONCE = 8192
+def stars(buckets: DataFrame, total: int) -> DataFrame:
+    """Edges (a, b) that connect all nodes of a bucket: from each row (key, node) to the smallest node of its key.
 
-
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, total: int) -> DataFrame:
-    """Inner join where a few keys may hold most of the `total` rows of `left`; `right` has few rows per key.
-
-    Keys with more than a thousandth of the rows are at most a thousand. Their rows are dealt out over several salts,
-    and their rows of `right` are repeated once per salt.
+    Only minima are gathered per key and joined back, so a key with most of the `total` rows is spread over tasks.
     """
-    each = max(1, -(-total // HOT_KEYS))
-    hot = left.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n")).filter(F.col("_n") > each)
-    salts = F.coalesce(F.ceil(F.col("_n") / each), F.lit(1)).cast("int")
-    dealt = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_hot", "_n")
-    copies = right.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_hot", "_n")
-    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+    least = buckets.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("rows"))
+    least = least.filter("least != most").drop("most")
+    met = attach(buckets, least, "key", "rows", total, "node").filter("node != least")
+    return met.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -62,114 +49,5 @@ def _larger_first(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b").distinct()
 
 
-def _pairs(rows: pa.Table, least: float) -> tuple[list, list]:
-    """Pairs (centre, member) of one part of a bucket whose classes differ and whose signatures agree in enough places."""
-    order = np.argsort(~rows.column("centre").to_numpy(), kind="stable")
-    n_centres = int(rows.column("centre").to_numpy().sum())
-    if not n_centres or n_centres == len(order):
-        return [], []
-    ids, of = rows.column("id").to_pylist(), rows.column("class").to_pylist()
-    codes: dict = {}
-    numbers = np.array([codes.setdefault(one, len(codes)) for one in of])[order]
-    signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u2").reshape(len(ids), -1)[order]
-    members, left, right = signatures[n_centres:], [], []
-    for at in range(n_centres):
-        others = np.flatnonzero(numbers[n_centres:] != numbers[at])
-        near = others[(members[others] == signatures[at]).mean(axis=1) >= least] if len(others) else others
-        right.extend(ids[order[n_centres + o]] for o in near.tolist())
-        left.extend([ids[order[at]]] * len(near))
-    return left, right
-
-
-def _screened(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same for rows that are sorted by bucket and part; a part may go on in the next batch."""
-    held, last = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(c).to_numpy() for c in ("key", "part", "block")], axis=1)
-        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
-        left, right = [], []
-        for start, end in zip(edges, edges[1:]):
-            if held and tuple(keys[start]) != last:
-                for out, more in zip((left, right), _pairs(pa.Table.from_batches(held), least)):
-                    out.extend(more)
-                held = []
-            held.append(batch.slice(start, end - start))
-            last = tuple(keys[start])
-        kind = batch.schema.field("id").type
-        yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], ["id", "other"])
-    if held:
-        kind = held[0].schema.field("id").type
-        left, right = _pairs(pa.Table.from_batches(held), least)
-        yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], ["id", "other"])
-
-
-def bucket_classes(
-    members: DataFrame, least: float, verify: Callable[[DataFrame], DataFrame], at_once: int = AT_ONCE
-) -> tuple[DataFrame, DataFrame]:
-    """Classes (id, class) of members (id, bands, signature) that share a band and pass `verify`, and the links (a, b).
-
-    `verify` keeps those rows of (a, b) whose ids are linked. First every member of a bucket is compared with the
-    smallest one, which then leaves the bucket. Members outside the largest class of what is left wait. In each round
-    some of the waiting, four times as many a bucket as in the round before, are centres: they meet the others of their
-    buckets in tasks that compare signatures (16 bits a coordinate), pairs that agree in a share of `least` or more and
-    have not been verified yet go to `verify`, and the centres leave. This ends when what is left of every bucket is one
-    class, after about log4 of the largest number that waits. So links between members that both differ from the
-    smallest one are found too, and members of one class are hardly compared pair by pair. Large buckets are cut into
-    parts of `at_once` centres and an eighth as many members. Nothing but counts goes to the driver.
-    """
-    buckets = members.select("id", F.explode("bands").alias("key")).distinct()
-    sized = buckets.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    total = members.agg(F.sum(F.size("bands"))).first()[0] or 1
-    buckets = written(attach(buckets, sized, "key", "n", total, "id").filter("first is not null"), "buckets")
-    total = max(1, buckets.count())
-    tried = written(_larger_first(buckets, "id", "first"), "tried")
-    links = written(verify(tried), "links")
-    found = written(classes(links), "classes")
-    kind = members.schema["id"]
-    schema = T.StructType([kind, T.StructField("other", kind.dataType)])
-    rest, share = buckets.filter("id != first").select("key", "id"), 4
-    some = max(1, at_once // 8)
-    while True:
-        mapped = rest.join(found, "id", "left").withColumn("class", F.coalesce("class", "id"))
-        parts = mapped.groupBy("key", "class").agg(F.count("*").alias("size"))
-        largest = parts.groupBy("key").agg(
-            F.max(F.struct("size", "class")).alias("most"), F.count("*").alias("classes"), F.sum("size").alias("weight")
-        ).filter("classes > 1").select(
-            "key", F.col("most.class").alias("main"), (F.col("weight") - F.col("most.size")).alias("waits"), "weight"
-        )
-        open_ = attach(mapped, largest, "key", "weight", total, "id").filter("main is not null")
-        draw = F.pmod(F.xxhash64("id", F.lit(share)), F.lit(1 << 30)) < F.lit(float(share)) / F.col("waits") * (1 << 30)
-        open_ = open_.withColumn("centre", (F.col("class") != F.col("main")) & draw)
-        open_ = written(open_.select("key", "id", "class", "waits", "weight", "centre"), "open")
-        if open_.isEmpty():
-            return found, links
-        rest = open_.filter("not centre").select("key", "id")
-        drawn = open_.filter("centre").groupBy("key").agg(F.count("*").alias("centres"))
-        weights = open_.groupBy("key").agg(F.count("*").alias("weight"))
-        drawn = drawn.join(weights, "key").select("key", "centres", "weight")
-        met = attach(open_.drop("weight"), drawn, "key", "weight", total, "id").filter("centres is not null")
-        n_parts, n_blocks = F.ceil(F.col("weight") / some), F.ceil(F.col("centres") / at_once)
-        met = met.withColumn("_part", F.pmod(F.xxhash64("id"), n_parts)).withColumn("_block", F.pmod(F.xxhash64("id", F.lit(1)), n_blocks))
-        signed = met.join(members.select("id", "signature"), "id")
-        columns = ("key", "part", "block", "centre", "id", "class", "signature")
-        # members meet every block of centres in their part, centres every part in their block
-        as_members = signed.withColumn("part", F.col("_part")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-        as_centres = signed.filter("centre").withColumn("block", F.col("_block")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), n_parts - 1)))
-        dealt = as_members.withColumn("centre", F.lit(False)).select(*columns).unionAll(as_centres.select(*columns))
-        dealt = dealt.repartition("key", "part", "block").sortWithinPartitions("key", "part", "block")
-        near = _larger_first(map_arrow(dealt, partial(_screened, least), schema), "id", "other")
-        near = written(near.join(tried, ["a", "b"], "left_anti"), "near")
-        share *= 4
-        if near.isEmpty():
-            continue
-        tried = tried.unionAll(near)
-        more = written(verify(near), "links")
-        if not more.isEmpty():
-            links = written(links.unionAll(more).distinct(), "links")
-            found = written(classes(links), "classes")
-
-
 def is_first(id_column: Column, class_column: Column) -> Column:
     return class_column.isNull() | (id_column == class_column)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Iterator, Sequence
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import attach, map_arrow, slices, texts_of, written
-from .darts import SIMILARITY, candidates, verified
-from .links import bucket_classes
-from .shingles import SHINGLE, U64, mix, powers, word_hashes
+from .blocks import block_links
+from .darts import SIMILARITY
+from .links import classes, stars
+from .shingles import SHINGLE, U64, mix, powers, weighted_sets, word_hashes
 
 #: Words that a paragraph or a verbatim passage has at least.
 PASSAGE = 24
@@ -22,8 +23,6 @@ PASSAGE = 24
 ANCHORS = 24
 #: At a similarity of 0.8 two paragraphs meet in at least one of 10 bands of 4 with a probability of 99.5 %.
 BANDS, ROWS = 10, 4
-#: Four standard deviations below the similarity, as 40 coordinates estimate it.
-LEAST_AGREEMENT = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5
 WORD = re.compile(r"[^ \t-\r]+")
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64))
 
@@ -52,8 +51,8 @@ def paragraphs(texts: list[str], firsts: np.ndarray) -> tuple[np.ndarray, np.nda
     return columns[:, 0], columns[:, 1], columns[:, 2]
 
 
-def bands(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys of the shingles of each run of words, and their signatures (16 bits a coordinate)."""
+def bands(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Band keys of the shingles of each run of words."""
     counts = lengths - SHINGLE + 1
     inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     at = np.repeat(starts, counts) + inside
@@ -61,12 +60,10 @@ def bands(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[n
     for k in range(SHINGLE):
         hashes += words[at + k] * weights[k]
     edges, keys = np.cumsum(counts) - counts, np.zeros((len(starts), BANDS), U64)
-    signed = np.zeros((len(starts), BANDS * ROWS), "<u2")
     for at, seed in enumerate(SEEDS):
         least = np.minimum.reduceat(mix(hashes ^ seed), edges)
         keys[:, at // ROWS] = mix(keys[:, at // ROWS] + least + U64(at))
-        signed[:, at] = (least & U64(0xFFFF)).astype("<u2")
-    return keys, signed
+    return keys
 
 
 def anchors(words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -89,15 +86,14 @@ def _paragraph_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         owner, starts, lengths = paragraphs(texts, firsts)
         if not len(owner):
             continue
-        keys, signed = bands(words, starts, lengths)
+        keys = bands(words, starts, lengths)
         yield pa.RecordBatch.from_arrays(
             [
                 part.column("id").take(pa.array(owner)), pa.array((starts - firsts[owner]).astype(np.int32)),
                 pa.array(lengths.astype(np.int32)), pa.array(sums(words, starts, lengths).view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(owner) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel())),
-                pa.array([row.tobytes() for row in signed], pa.binary()),
             ],
-            ["id", "word", "length", "content", "bands", "signature"],
+            ["id", "word", "length", "content", "bands"],
         )
 
 
@@ -144,40 +140,42 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["id", "text"])
 
 
+def shingle_sets(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    return weighted_sets(texts)[:2]
+
+
 def repeated_paragraphs(texts: DataFrame, threshold: float) -> DataFrame:
     """(id, word, length, first, n) of paragraphs in classes of two or more; `first` is the first place (id, word).
 
-    Equal paragraphs are one content. Contents that share a band are compared by their exact shingle sets; links make
-    classes.
+    Equal paragraphs are one content. Contents that bands connect are compared by their exact shingle sets, in blocks;
+    links make classes.
     """
     schema = T.StructType([
         texts.schema["id"], T.StructField("word", T.IntegerType()), T.StructField("length", T.IntegerType()),
         T.StructField("content", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
-        T.StructField("signature", T.BinaryType()),
     ])
     rows = written(map_arrow(texts, _paragraph_rows, schema), "paragraphs")
     total = max(1, rows.count())
-    first = F.min(F.struct("id", "word", "bands", "signature")).alias("first")
+    first = F.min(F.struct("id", "word", "length", "bands")).alias("first")
     contents = rows.groupBy("content").agg(first, F.count("*").alias("n"))
-    contents = written(contents.select("content", "first.id", "first.word", "first.bands", "first.signature", "n"), "contents")
-    held: list[DataFrame] = []
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """The lines of all contents that share a band are set aside at the first call."""
-        if not held:
-            near = candidates(contents.select("content", "bands")).withColumnRenamed("id", "content")
-            met = contents.join(near, "content", "left_semi")
-            wanted = met.groupBy("id").agg(F.collect_list(F.struct("word", "content")).alias("wanted"))
-            lines = map_arrow(texts.join(wanted, "id").select("text", "wanted"), _lines, "id long, text string")
-            held.append(written(lines.dropDuplicates(["id"]), "lines"))
-        return verified(pairs, held[0], threshold, weighted=False)
-
-    members = contents.select(F.col("content").alias("id"), "bands", "signature")
-    found, _ = bucket_classes(members, LEAST_AGREEMENT, verify)
+    contents = written(contents.select("content", "first.id", "first.word", "first.length", "first.bands", "n"), "contents")
+    buckets = contents.select(F.col("content").alias("node"), F.explode("bands").alias("key"))
+    near = written(stars(buckets, BANDS * max(1, contents.count())), "near")
+    met = near.select(F.explode(F.array("a", "b")).alias("content")).distinct()
+    met = written(contents.join(met, "content").drop("bands"), "met")
+    wanted = met.groupBy("id").agg(F.collect_list(F.struct("word", "content")).alias("wanted"))
+    lines = map_arrow(texts.join(wanted, "id").select("text", "wanted"), _lines, "id long, text string")
+    none = F.lit(None).cast("long")
+    compared = met.select(
+        F.col("content").cast("string").alias("key"), F.col("content").alias("node"), F.col("content").alias("id"),
+        F.col("length").cast("long").alias("n"), none.alias("c1"), none.alias("c2"),
+    )
+    links = block_links(compared, lines, near, shingle_sets, Fraction(str(threshold)))
+    found = classes(links.select("a", "b")).select(F.col("id").cast("long").alias("id"), F.col("class").cast("long").alias("class"))
 
     classed = contents.join(found.withColumnRenamed("id", "_id"), F.col("content") == F.col("_id"), "left")
     classed = classed.select("content", "n", F.coalesce("class", "content").alias("class"))
-    placed = attach(rows.drop("bands", "signature"), classed, "content", "n", total, "id")
+    placed = attach(rows.drop("bands"), classed, "content", "n", total, "id")
     firsts = placed.groupBy("class").agg(F.min(F.struct("id", "word")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     placed = attach(placed.select("id", "word", "length", "class"), firsts, "class", "n", total, "id").filter("first is not null")
     return placed.select("id", "word", "length", "first", "n")

@@ -3,11 +3,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from rimeweave.llm import shingles
-from rimeweave.llm.darts import near_duplicates, signatures
-from rimeweave.llm.links import bucket_classes, classes
+from rimeweave.llm.darts import BANDS, ROWS, near_duplicates, signatures
+from rimeweave.llm.links import classes, stars
 
 
 def sets(text):
@@ -106,37 +105,37 @@ def test_classes_of_chains_and_stars(spark):
     assert {r["id"]: r["class"] for r in got} == components(nodes, [e for e in edges if e[0] != e[1]]) and len(got) == len(nodes)
 
 
-def test_no_link_between_classes_of_a_bucket_is_lost(spark):
-    """Members fail against the first one, and are linked with one another."""
-    rows = [(k, [1, 100 + k], b"abcd") for k in range(30)] + [(50, [2, 3], b"abcd"), (51, [3], b"abcd"), (60, [4], b"abcd")]
-    members = spark.createDataFrame(rows, "id long, bands array<long>, signature binary")
-    near = lambda df: df.filter(F.abs(F.col("a") - F.col("b")).isin(1, 2) & (F.floor(F.col("a") / 10) == F.floor(F.col("b") / 10)))
-    for at_once in (12, 100):
-        found, links = bucket_classes(members, 1.0, near, at_once)
-        assert {r["id"]: r["class"] for r in found.collect()} == {k: k // 10 * 10 for k in [*range(30), 50, 51]}
-    assert links.filter("a <= b").count() == 0
-
-
-def test_waiting_members_do_not_go_through_the_driver(spark, monkeypatch):
-    """Many groups that all fail against the first member of one bucket, found while nothing is collected."""
-    rows = [(k, [1], bytes([k // 10, 0]) * 8) for k in range(300)]
-    members = spark.createDataFrame(rows, "id long, bands array<long>, signature binary")
-    near = lambda df: df.filter(F.floor(F.col("a") / 10) == F.floor(F.col("b") / 10))
-    compared = []
-
-    def verify(pairs):
-        compared.extend([pairs.count()])
-        return near(pairs)
-
-    collect = type(members).collect
-
-    def small(df):
-        got = collect(df)
-        assert len(got) <= 1
-        return got
-
-    monkeypatch.setattr(type(members), "collect", small)
-    found, _ = bucket_classes(members, 1.0, verify, 800)
-    monkeypatch.undo()
-    assert {r["id"]: r["class"] for r in found.collect()} == {k: k // 10 * 10 for k in range(300)}
-    assert len(compared) < 12 and sum(compared) < 300 * 10
+def test_buckets_become_stars(spark):
+    rows = [(k % 5, k) for k in range(200)] + [(9, k) for k in range(1000, 3000)] + [(10, 5000), (10, 5000), (11, 7)]
+    edges = stars(spark.createDataFrame(rows, "key long, node long").repartition(4), len(rows)).collect()
+    assert sorted((r.a, r.b) for r in edges) == sorted([(k, k % 5) for k in range(5, 200)] + [(k, 1000) for k in range(1001, 3000)])
+
+
+def test_a_group_just_below_the_threshold_makes_no_pairs(spark, documents):
+    """Copies of one text with four words changed each: most pairs are a little below 0.8, some are links."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for key in range(1, 601):
+        copy = list(base)
+        for _ in range(4):
+            copy[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        texts.append((key, " ".join(copy)))
+    bags = {key: sets(text) for key, text in texts}
+    edges = [(a, b) for a in bags for b in bags if a < b and jaccard(bags[a], bags[b]) >= 0.8]
+    rows = near_duplicates(documents(*texts)).collect()
+    got = {r.doc_id: r.class_id for r in rows}
+    assert got == components(list(bags), edges)
+    assert sum(r.n_links for r in rows) == 2 * len(edges)
+
+
+def test_recall_of_the_bands():
+    """The share of pairs at 0.8 that meet in a band, measured on signatures: 0.9 or more is asked for."""
+    rng = np.random.default_rng(13)
+    pool = rng.integers(1, 2**62, (300, 100)).astype(np.uint64)
+    owners, elements = np.repeat(np.arange(600), 90), np.concatenate([np.stack([row[:90], row[10:]]).ravel() for row in pool])
+    signed = signatures(owners, elements, np.ones(len(owners)), 600, BANDS * ROWS).reshape(300, 2, BANDS, ROWS, order="C")
+    agree = np.stack([signed[:, 0].reshape(300, -1)[:, at::BANDS] for at in range(BANDS)], 1) == np.stack(
+        [signed[:, 1].reshape(300, -1)[:, at::BANDS] for at in range(BANDS)], 1
+    )
+    assert agree.all(axis=2).any(axis=1).mean() > 0.98

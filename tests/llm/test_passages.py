@@ -1,10 +1,13 @@
 import random
+from fractions import Fraction
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from rimeweave.llm import passages
-from rimeweave.llm.darts import SIMILARITY, verified
+from rimeweave.llm.blocks import product_links
+from rimeweave.llm.darts import SIMILARITY, numbered_sets
 from rimeweave.llm.passages import PASSAGE, find_repeats, merged, remove_repeats
 
 
@@ -78,7 +81,8 @@ def test_paragraphs_are_compared_as_sets_of_shingles(documents):
     """The same phrase three times and twice: equal sets, apart from the few shingles of the seams."""
     phrase = line(random.Random(16), 40)
     texts = documents((1, " ".join(phrase * 3)), (2, " ".join(phrase * 2))).select(F.col("doc_id").alias("id"), "text")
-    pairs = texts.sparkSession.createDataFrame([(2, 1)], "a long, b long")
-    assert verified(pairs, texts, SIMILARITY, weighted=False).count() == 1 and verified(pairs, texts, SIMILARITY).count() == 0
+    for sets, linked in ((passages.shingle_sets, True), (numbered_sets, False)):
+        owners, elements = sets([r.text for r in texts.collect()])
+        assert product_links(owners, elements, np.zeros(2, int), Fraction(4, 5))[1].tolist() == [linked, linked]
     rows = passages.repeated_paragraphs(texts, SIMILARITY).collect()
     assert {(r.id, r.first.id) for r in rows} == {(1, 1), (2, 1)}
