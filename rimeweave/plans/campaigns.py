@@ -68,11 +68,6 @@ ESCAPE_FORMAT = fm.TableFormat(
 
 # -------------------------------------------------------------------- helpers
 
-def _all_names(tables: TextTables) -> list[str]:
-    """Columns of the combined frame: each name where it first appears."""
-    return tables.column_names().get("", [])
-
-
 def _position_names(names: Sequence[str], altitude: Sequence[str] = ("alt",)) -> dict[str, str]:
     found = {
         "lat": N.pick_containing(names, "lat"),
@@ -82,6 +77,15 @@ def _position_names(names: Sequence[str], altitude: Sequence[str] = ("alt",)) ->
     return {out: name for out, name in found.items() if name}
 
 
+def _position_roles(altitude: Sequence[str] = ("alt",)) -> dict[str, Callable[[Column], Column]]:
+    """Tests of lower-case names for the three position columns, which are chosen over all files."""
+
+    def containing(*tokens: str) -> Callable[[Column], Column]:
+        return lambda name: name.rlike("|".join(tokens))
+
+    return {"lat": containing("lat"), "lon": containing("lon"), "alt": containing(*altitude)}
+
+
 def _timestamp(df: DataFrame, seconds: str) -> DataFrame:
     return df.withColumn("Timestamp", clock.seconds_after(F.col("flight_date"), F.col(seconds)))
 
@@ -116,18 +120,16 @@ def arm(spark: SparkSession, spec: CampaignSpec) -> DataFrame:
 
 def mc3e(spark: SparkSession, spec: CampaignSpec) -> DataFrame:
     tables = open_files(spark, spec.path, NAMES_BEFORE_LAST, spec.glob)
-    position = _position_names(_all_names(tables))
-    wanted = {"time": "Time", "tair": "Air_Temp", "frost": "FrostPoint", **position}
-    df = _timestamp(tables.rows(wanted, sentinels=COMMON_SENTINELS), "time")
+    wanted = {"time": "Time", "tair": "Air_Temp", "frost": "FrostPoint"}
+    df = _timestamp(tables.late_rows(wanted, _position_roles(), COMMON_SENTINELS), "time")
     df = df.withColumn("Si", thermo.si_from_frost_point(F.col("frost"), F.col("tair")))
     return _standard(df, spec, "tair")
 
 
 def midcix(spark: SparkSession, spec: CampaignSpec) -> DataFrame:
-    tables = open_files(spark, spec.path, NAMES_WITH_UNITS, spec.glob).only(_has_ut())
-    position = _position_names(_all_names(tables), ("alt", "z"))
-    wanted = {"time": _ut_name, "t_k": "T_K", "rh": "RH", **position}
-    df = _timestamp(tables.rows(wanted, sentinels=COMMON_SENTINELS), "time")
+    tables = open_files(spark, spec.path, NAMES_WITH_UNITS, spec.glob, require=_has_ut())
+    wanted = {"time": _ut_name, "t_k": "T_K", "rh": "RH"}
+    df = _timestamp(tables.late_rows(wanted, _position_roles(("alt", "z")), COMMON_SENTINELS), "time")
     df = df.withColumns(
         {"Si": thermo.si_from_rh(F.col("rh")), "tair": numeric.kelvin_to_celsius(F.col("t_k"))}
     )
@@ -148,23 +150,22 @@ def _ut_name(names: Column) -> Column:
     return N.first_where(names, lambda n: F.lower(n).startswith("ut"))
 
 
-def _has_ut() -> Column:
+def _has_ut() -> tuple[Column, str]:
     """Files without a UT column cannot be placed in time."""
-    return _ut_name(F.col("names")).isNotNull()
+    return _ut_name(F.col("names")).isNotNull(), "no UT column"
 
 
 def crystal_face_nasa(spark: SparkSession, spec: CampaignSpec) -> DataFrame:
     """Hygrometer files; with the option ``position_path`` also positions by as-of join."""
-    tables = open_files(spark, spec.path, NAMES_WITH_UNITS, spec.glob).only(_has_ut())
+    tables = open_files(spark, spec.path, NAMES_WITH_UNITS, spec.glob, require=_has_ut())
     wanted: dict = {
         "time": _ut_name,
         "rh": lambda ns: N.first_where(ns, lambda n: F.lower(n).contains("rh")),
         "t_k": lambda ns: N.first_where(ns, lambda n: F.lower(n).isin("t_k", "t")),
     }
     position_path = spec.options.get("position_path")
-    if not position_path:
-        wanted.update(_position_names(_all_names(tables), ("alt", "z")))
-    df = _timestamp(tables.rows(wanted), "time").withColumns(
+    roles = {} if position_path else _position_roles(("alt", "z"))
+    df = _timestamp(tables.late_rows(wanted, roles), "time").withColumns(
         {"Si": thermo.si_from_rh(F.col("rh")), "tair": numeric.kelvin_to_celsius(F.col("t_k"))}
     )
     if position_path:
@@ -189,8 +190,7 @@ def crystal_face_und(spark: SparkSession, spec: CampaignSpec) -> DataFrame:
     tables = open_files(spark, spec.path, NAMES_BEFORE_LAST, spec.glob)
     humidity = tables.only(F.col("file_name").endswith("MIS.CIT"))
     weather = tables.only(F.col("file_name").endswith("MET.CIT"))
-    position = _position_names(_all_names(humidity))
-    left = _timestamp(humidity.rows({"time": "Time", "rh": "RH", **position}, sentinels=COMMON_SENTINELS), "time")
+    left = _timestamp(humidity.late_rows({"time": "Time", "rh": "RH"}, _position_roles(), COMMON_SENTINELS), "time")
     left = left.withColumn("pair", F.col("source_file"))
     right = weather.rows(
         {"time": "Time", "tair": lambda ns: N.first_where(ns, lambda n: n.startswith("Air_Temp"))},

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -30,7 +32,18 @@ def _keep(df: DataFrame, exclude: str | None) -> DataFrame:
 def list_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False, exclude: str | None = None) -> DataFrame:
     """``path, file_name, length`` of the matching files; contents are not read."""
     found = spark.read.format("binaryFile").options(**_options(pattern, recursive)).load(path)
-    return _keep(found, exclude).select("path", F.col("_metadata.file_name").alias("file_name"), "length")
+    return _keep(found, exclude).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), "length"
+    )
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder; what made them is not done again."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _unix_lines(text: Column) -> Column:
@@ -42,8 +55,12 @@ def read_whole(
     spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False, exclude: str | None = None,
     limit: int = WHOLE_FILE_BYTES,
 ) -> DataFrame:
-    """One row ``path, file_name, lines`` per file of at most ``limit`` bytes."""
-    raw = spark.read.options(**_options(pattern, recursive)).text(path, wholetext=True)
+    """One row ``path, file_name, lines`` per file of at most ``limit`` bytes.
+
+    A file that cannot be read (a damaged archive, no permission) has no row; the listing still has it.
+    """
+    options = {**_options(pattern, recursive), "ignoreCorruptFiles": "true"}
+    raw = spark.read.options(**options).text(path, wholetext=True)
     raw = _keep(raw, exclude).filter(F.col("_metadata.file_size") <= limit)
     return raw.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"),

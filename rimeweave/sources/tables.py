@@ -25,6 +25,7 @@ from ..functions.text import strip
 from ..operators import filters, guards as unit_guards
 from ..operators.project import union_all
 from . import files as file_source
+from .files import staged
 from .formats import CountedHeader, ScannedHeader, TableFormat
 from .faults import noted
 from .layout import data_offset, header_count, header_position, widest_key, widest_position, with_layout
@@ -74,6 +75,8 @@ class TextTables:
     whole: DataFrame | None        # layout columns and ``body ARRAY<STRING>``, one row per file
     split_layout: DataFrame | None  # layout columns and ``_h``, one row per file
     split_lines: DataFrame | None   # ``path, line_no, value``
+    listed: DataFrame | None = None  # ``path, file_name`` of every file that was to be read
+    marks: DataFrame | None = None   # ``path, file_name, error, n_corrupt`` per file that was read, once rows are staged
 
     def only(self, condition: Column) -> TextTables:
         """The tables of the files that meet a condition on ``path``, ``file_name`` or ``names``."""
@@ -83,14 +86,38 @@ class TextTables:
 
         return TextTables(self.fmt, kept(self.whole), kept(self.split_layout), self.split_lines)
 
+    def requiring(self, condition: Column, reason: str) -> TextTables:
+        """The same tables; files that do not meet the condition have ``reason`` as their error."""
+
+        def judged(df: DataFrame | None) -> DataFrame | None:
+            wrong = F.when(~F.coalesce(condition, F.lit(False)), reason)
+            return None if df is None else df.withColumn("error", F.coalesce("error", wrong))
+
+        return TextTables(self.fmt, judged(self.whole), judged(self.split_layout), self.split_lines, self.listed)
+
     def layouts(self) -> DataFrame:
         """One row per file: names, flight date, metadata, scales, flags, error."""
         parts = [p.select(*_LAYOUT) for p in (self.whole, self.split_layout) if p is not None]
         return union_all(parts)
 
     def errors(self) -> DataFrame:
-        """Files that could not be used, with the reason."""
-        return self.layouts().filter(F.col("error").isNotNull()).select("path", "file_name", "error")
+        """Files that could not be used, with the reason; a listed file of which nothing was read is one of them.
+
+        Once rows are staged this looks at the staged table, not at raw text.
+        """
+        read = (self.layouts() if self.marks is None else self.marks).select("path", "file_name", "error")
+        found = read.filter(F.col("error").isNotNull())
+        if self.listed is None:
+            return found
+        unread = self.listed.join(read.select("path"), "path", "left_anti")
+        return found.unionByName(unread.select("path", "file_name", F.lit("file cannot be read").alias("error")))
+
+    def corrupt_counts(self) -> DataFrame:
+        """``path, file_name, n_rows``: rows with more cells than names, for each file that has some."""
+        if self.marks is not None:
+            counted = self.marks.filter(F.col("n_corrupt") > 0)
+            return counted.select("path", "file_name", F.col("n_corrupt").alias("n_rows"))
+        return self.corrupt_rows().groupBy("path", "file_name").agg(F.count("*").alias("n_rows"))
 
     def column_names(self, group: Column | None = None) -> dict[str, list[str]]:
         """Column names per group in the order in which files and headers bring them up.
@@ -107,34 +134,51 @@ class TextTables:
             found.setdefault(r["group"], []).append(r["name"])
         return found
 
-    def _lines(self, carry: Mapping[str, Column]) -> DataFrame:
+    def _lines(self, carry: Mapping[str, Column], marked: bool = False) -> DataFrame:
+        """Lines with text below the headers of usable files; with ``marked`` also a line -1, NULL, for every file."""
+        carry = dict(carry)
+        columns = ["path", "file_name", "names", "flight_date", "metadata", "scales", "flags"]
         parts = []
         if self.whole is not None:
-            usable = self.whole.filter(F.col("error").isNull()).withColumns(dict(carry))
-            rows = usable.select(
-                "path", "file_name", "names", "flight_date", "metadata", "scales", "flags", *carry,
-                F.posexplode("body").alias("line_no", "value"),
-            )
-            parts.append(rows)
+            usable = self.whole if marked else self.whole.filter(F.col("error").isNull())
+            body = F.col("body")
+            if marked:
+                too_long = F.filter("body", lambda l: l.rlike(r"\S") & (self.fmt.cell_count(l) > F.size("names")))
+                usable = usable.withColumn("n_corrupt", F.when(F.col("error").isNull(), F.size(too_long)).otherwise(0).cast("long"))
+                kept = F.when(F.col("error").isNull(), F.coalesce("body", F.array().cast("array<string>")))
+                body = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(kept, F.array().cast("array<string>")))
+            usable = usable.withColumns(carry)
+            parts.append(usable.select(*columns, *carry, F.posexplode(body).alias("_pos", "value")).select(
+                *columns, *carry, (F.col("_pos") - (1 if marked else 0)).alias("line_no"), "value"
+            ))
         if self.split_layout is not None:
-            usable = self.split_layout.filter(F.col("error").isNull()).withColumns(dict(carry))
-            usable = usable.drop("header")
+            layout = self.split_layout
+            if marked:
+                found = self._split_corrupt()
+                layout = layout.join(found, "path", "left").withColumn("n_corrupt", F.coalesce("n_corrupt", F.lit(0)))
+            layout = layout.withColumns(carry).drop("header")
+            usable = layout.filter(F.col("error").isNull())
             lines = self.split_lines.select("path", "line_no", "value").join(usable, "path")
             start = F.col("_h") + data_offset(self.fmt)
-            rows = lines.filter(F.col("line_no") >= start).select(
-                "path", "file_name", "names", "flight_date", "metadata", "scales", "flags", *carry,
-                (F.col("line_no") - start).alias("line_no"), "value",
-            )
+            rows = lines.filter(F.col("line_no") >= start).select(*columns, *carry, (F.col("line_no") - start).alias("line_no"), "value")
             parts.append(rows)
-        return union_all(parts).filter(F.col("value").rlike(r"\S"))
+            if marked:
+                parts.append(layout.select(*columns, *carry, F.lit(-1).cast("long").alias("line_no"), F.lit(None).cast("string").alias("value")))
+        text = F.col("value").rlike(r"\S")
+        return union_all(parts).filter((F.col("line_no") < 0) | text if marked else text)
+
+    def _split_corrupt(self) -> DataFrame:
+        split = TextTables(self.fmt, None, self.split_layout, self.split_lines)
+        return split.corrupt_rows().groupBy("path").agg(F.count("*").alias("n_corrupt"))
 
     def corrupt_rows(self) -> DataFrame:
         """Rows with more cells than names."""
         rows = self._lines({}).filter(self.fmt.cell_count(F.col("value")) > F.size("names"))
         return rows.select("path", "file_name", "line_no", "value")
 
-    def _tokens(self, carry: Mapping[str, Column]) -> DataFrame:
-        rows = self._lines(carry).filter(self.fmt.cell_count(F.col("value")) <= F.size("names"))
+    def _tokens(self, carry: Mapping[str, Column], marked: bool = False) -> DataFrame:
+        fits = self.fmt.cell_count(F.col("value")) <= F.size("names")
+        rows = self._lines(carry, marked).filter((F.col("line_no") < 0) | fits if marked else fits)
         return rows.withColumn("_tokens", self.fmt.tokens(F.col("value")))
 
     def rows(
@@ -145,14 +189,19 @@ class TextTables:
         unmasked: Sequence[str] = (),
         carry: Mapping[str, Column] | None = None,
         quality: Callable[[Column], Column] | None = None,
+        groups: Mapping[str, Callable[[Column], Column]] | None = None,
+        marked: bool = False,
     ) -> DataFrame:
         """Parsed rows: ``source_file, row_no, flight_date``, carried columns, then the wanted ones.
 
         ``sentinels`` become NULL in all numbers except ``unmasked`` ones.
         Header scales and header flags, where the format has them, are applied
         by position.  ``carry`` adds per-file expressions over the layout.
-        ``quality`` picks names whose cells are returned as ``quality ARRAY<STRING>``.
+        ``quality`` picks names whose cells are returned as ``quality ARRAY<STRING>``,
+        ``groups`` names whose numbers are returned as arrays.  ``marked`` adds a
+        row -1 without cells for each file.
         """
+        groups = dict(groups or {})
         texts = dict(texts or {})
         carry = dict(carry or {})
         position: dict[str, Column] = {}
@@ -163,13 +212,20 @@ class TextTables:
         if quality is not None:
             picked = quality(F.col("names"))
             position["_at_quality"] = F.transform(picked, lambda n: (F.array_position("names", n) - 1).cast("int"))
-        rows = self._tokens({**carry, **position})
+        for out, pick in groups.items():
+            position[f"_at_{out}"] = F.transform(pick(F.col("names")), lambda n: (F.array_position("names", n) - 1).cast("int"))
+        rows = self._tokens({**carry, **position}, marked)
         fixed = [
             F.col("file_name").alias("source_file"), F.col("line_no").cast("bigint").alias("row_no"), "flight_date",
             "scales", "flags", *carry, *position,
         ]
         if quality is not None:
             fixed.append(F.transform("_at_quality", lambda i: strip(F.get("_tokens", i))).alias("quality"))
+        sentinel_values = tuple(sentinels)
+        for out in groups:
+            cells = F.transform(f"_at_{out}", lambda i: numeric.to_number(F.get("_tokens", i)))
+            fixed.append(F.transform(cells, lambda v: masks.drop_flags(v, sentinel_values)).alias(out))
+
         # cell text, number and masked number are steps of their own: as one
         # expression the text would be fetched and parsed once per mention
         def cell(out: str) -> Column:
@@ -178,7 +234,6 @@ class TextTables:
 
         rows = rows.select(*fixed, *[cell(o).alias(o) for o in {**numbers, **texts}])
         rows = rows.withColumns({o: numeric.parse_double(F.col(o)) for o in numbers})
-        sentinel_values = tuple(sentinels)
 
         def masked(out: str) -> Column:
             value, at = F.col(out), F.col(f"_at_{out}")
@@ -191,9 +246,46 @@ class TextTables:
 
         verdicts = ["quality"] if quality is not None else []
         return rows.select(
-            "source_file", "row_no", "flight_date", *carry, *[masked(o).alias(o) for o in numbers], *texts, *verdicts
+            "source_file", "row_no", "flight_date", *carry, *[masked(o).alias(o) for o in numbers], *texts, *verdicts, *groups
         )
 
+    def late_rows(
+        self, numbers: Mapping[str, Wanted], roles: Mapping[str, Callable[[Column], Column]], sentinels: Iterable[float] = ()
+    ) -> DataFrame:
+        """Rows with ``numbers``, and with columns that are chosen over all files after these have been read once.
+
+        A role is a test of a lower-case name.  Of the names that pass, the one
+        that comes up first, by path and position, fills the role everywhere.
+        Raw text is parsed in one pass: the numbers of all columns that could
+        fill a role go to a staged table with their names, together with one
+        row per file that says what was wrong with it.  The choice is then a
+        minimum over that table, and no name goes to the driver.
+        """
+        def fits(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+            return lambda names: F.filter(names, lambda n: test(F.lower(n)))
+
+        carry = {f"_names_{r}": fits(test)(F.col("names")) for r, test in roles.items()}
+        carry |= {"_path": F.col("path"), "_error": F.col("error"), "_corrupt": F.col("n_corrupt")}
+        table = staged(self.rows(numbers, sentinels=sentinels, carry=carry, groups={r: fits(t) for r, t in roles.items()}, marked=True), "rows")
+        self.marks = table.filter("row_no < 0").select(
+            F.col("_path").alias("path"), F.col("source_file").alias("file_name"), F.col("_error").alias("error"), F.col("_corrupt").alias("n_corrupt")
+        )
+
+        def first(role: str) -> Column:
+            name = F.when(F.col("_error").isNull(), F.get(f"_names_{role}", F.lit(0)))
+            return F.min(F.when(name.isNotNull(), F.struct("_path", name.alias("name"))))["name"]
+
+        rows = table.filter("row_no >= 0")
+        if roles:
+            chosen = table.agg(*(first(r).alias(r) for r in roles)).select(F.struct(*roles)).scalar()
+            rows = rows.withColumn("_chosen", chosen)
+
+        def cell(role: str) -> Column:
+            at = F.array_position(f"_names_{role}", F.col("_chosen")[role])
+            return F.get(role, F.when(at > 0, at.cast("int") - 1)).alias(role)
+
+        return rows.select("source_file", "row_no", "flight_date", *numbers, *(cell(r) for r in roles))
+
     def guarded_rows(
         self,
         numbers: Mapping[str, Wanted],
@@ -290,8 +382,12 @@ def open_files(
     recursive: bool = False,
     exclude: str | None = None,
     whole_limit: int = file_source.WHOLE_FILE_BYTES,
+    require: tuple[Column, str] | None = None,
 ) -> TextTables:
-    """Tables in the files below ``path``; no matching file is an error."""
+    """Tables in the files below ``path``; no matching file is an error.
+
+    ``require`` is a condition on a file's ``path``, ``file_name`` or ``names``, and the error of a file without it.
+    """
     listed = file_source.list_files(spark, path, pattern, recursive, exclude)
     large = F.count_if(F.col("length") > whole_limit)
     sizes = listed.agg(F.count(F.lit(1)).alias("n"), large.alias("n_large")).first()
@@ -302,7 +398,9 @@ def open_files(
     start = F.col("_h") + data_offset(fmt) + 1
     body = F.slice("lines", F.coalesce(start, F.lit(1)), F.size("lines"))
     whole = with_layout(whole, fmt).select(*_LAYOUT, body.alias("body"))
-    if not sizes["n_large"]:
-        return noted(TextTables(fmt, whole, None, None))
-    lines = file_source.read_split_lines(spark, path, pattern, recursive, exclude, whole_limit)
-    return noted(_of_lines(lines, fmt, whole))
+    if sizes["n_large"]:
+        tables = _of_lines(file_source.read_split_lines(spark, path, pattern, recursive, exclude, whole_limit), fmt, whole)
+    else:
+        tables = TextTables(fmt, whole, None, None)
+    tables.listed = listed.select("path", "file_name")
+    return noted(tables.requiring(*require) if require else tables)

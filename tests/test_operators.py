@@ -56,7 +56,7 @@ def test_exact_quantiles(spark, accuracy):
     df = spark.createDataFrame(rows, "g string, v double").repartition(4)
     wanted = {"low": 0.0, "q1": 0.25, "median": 0.5, "p99": 0.99, "top": 1.0}
     got = {r.g: r for r in summary.exact_quantiles(df, "v", wanted, ["g"], accuracy).collect()}
-    assert set(got) == set(samples)
+    assert set(got) == {*samples, "empty"} and all(got["empty"][name] is None for name in wanted)
     for g, vs in samples.items():
         for name, p in wanted.items():
             assert got[g][name] == pytest.approx(np.percentile(vs, 100 * p), rel=1e-12, abs=1e-12), (g, name)

@@ -1,5 +1,7 @@
 """File discovery, layouts, errors, and the equality of the ways in."""
 
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,47 @@ def test_file_plan_has_no_shuffle(spark, folder):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan and "Python" not in plan
     assert df.filter(F.col("x") > 1).count() > 0
+
+
+def test_late_column_choice_reads_raw_text_once(spark, tmp_path):
+    """The first name by path and position fills a role in every file, also one from a file without rows."""
+    icartt(tmp_path / "a.ict", "time, PLATE, lon1", [])
+    icartt(tmp_path / "b.ict", "time, GPS_Lat, LON2, lon1", ["1, 10, 20, 30", "2, -9999, bad, 31", "3, 4, 5, 6, 7"])
+    icartt(tmp_path / "c.ict", "time, PLATE, lon1, GPS_Lat", ["5, 40, 50, 60"])
+    icartt(tmp_path / "d.ict", "time, x", ["6, 7"])
+    icartt(tmp_path / "e.ict", "time, latitude", ["8, 9"], date="none")
+    roles = {"lat": lambda n: n.contains("lat"), "lon": lambda n: n.contains("lon"), "alt": lambda n: n.contains("alt")}
+    for limit in (10_000, 0):
+        tables = open_files(spark, str(tmp_path), ICARTT, "*.ict", whole_limit=limit)
+        df = tables.late_rows({"time": "time"}, roles, [-9999])
+        got = sorted((r.source_file, r.time, r.lat, r.lon, r.alt) for r in df.collect())
+        assert got == [
+            ("b.ict", 1.0, None, 30.0, None), ("b.ict", 2.0, None, 31.0, None), ("c.ict", 5.0, 40.0, 50.0, None), ("d.ict", 6.0, None, None, None),
+        ]
+        assert {(r.file_name, r.error) for r in tables.errors().collect()} == {("e.ict", "no flight date")}
+        assert [(r.file_name, r.n_rows) for r in tables.corrupt_counts().collect()] == [("b.ict", 1)]
+        plans = df._jdf.queryExecution().toString() + tables.corrupt_counts()._jdf.queryExecution().toString()
+        assert "FileScan text" not in plans and "Scan text" not in plans
+
+
+def test_unreadable_files_are_errors_of_their_own(spark, tmp_path):
+    icartt(tmp_path / "good.ict", "time, lat", ["1, 2"])
+    text = (tmp_path / "good.ict").read_bytes() * 200
+    (tmp_path / "cut.ict.gz").write_bytes(gzip.compress(text)[:-40])
+    (tmp_path / "not.ict.gz").write_bytes(b"this is no archive")
+    (tmp_path / "whole.ict.gz").write_bytes(gzip.compress((tmp_path / "good.ict").read_bytes()))
+    tables = open_files(spark, str(tmp_path), ICARTT, "*ict*")
+    wanted = {("cut.ict.gz", "file cannot be read"), ("not.ict.gz", "file cannot be read")}
+    assert {(r.file_name, r.error) for r in tables.errors().collect()} == wanted
+    rows = tables.late_rows({"time": "time"}, {"lat": lambda n: n.contains("lat")})
+    assert sorted((r.source_file, r.lat) for r in rows.collect()) == [("good.ict", 2.0), ("whole.ict.gz", 2.0)]
+    assert {(r.file_name, r.error) for r in tables.errors().collect()} == wanted
+
+
+def test_files_without_a_required_column_are_errors(spark, tmp_path):
+    icartt(tmp_path / "a.ict", "UT, x", ["1, 2"])
+    icartt(tmp_path / "b.ict", "time, x", ["1, 2"])
+    need = (F.array_contains("names", "UT"), "no UT column")
+    tables = open_files(spark, str(tmp_path), ICARTT, "*.ict", require=need)
+    assert [(r.file_name, r.error) for r in tables.errors().collect()] == [("b.ict", "no UT column")]
+    assert [r.source_file for r in tables.rows({"x": "x"}).collect()] == ["a.ict"]
