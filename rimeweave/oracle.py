@@ -366,8 +366,28 @@ ORACLE |= {
         {r6(si_mk('frost', 'tair'))} as "Si", lat as "Lat", lon as "Lon", alt as "Alt_m"
         from ({_MC3E}) where not bad and l_linenumber <> 7""",
     "harmonise_report": """with s as (select l_suppkey % 7 = 0 as bad, count(*) filter (l_linenumber <> 7) as good,
-          count(*) filter (l_linenumber = 7) as corrupt from lineitem group by l_suppkey)
+          count(*) filter (l_linenumber = 7) as corrupt from lineitem group by l_suppkey, l_orderkey // 200000)
         select x as "Campaign", cast(sum(good) filter (not bad) as bigint) as n_rows, count(*) filter (bad) as n_errors,
           cast(sum(corrupt) filter (not bad) as bigint) as n_corrupt, cast(1 as bigint) as n_failed
         from s, (values ('MC3E'), ('SECOND')) v(x) group by x""",
 }
+
+_CHOICE = f"""select {supplier_file('.ict')} as file_name, s_suppkey % 7 = 0 as bad, s_suppkey % 3 as kind, * from {LINES_OK}"""
+ORACLE |= {
+    "ingest_quoted": f"""select {supplier_file('.ict')} as source_file, {_ROW}, cast(l_orderkey as double) as time, l_extendedprice as price,
+        case l_linenumber when 2 then 'a, b' when 3 then 'x "y", z' when 4 then '"open' when 5 then 'p "q"' when 6 then '' else 'plain' end as note
+        from {LINES_OK} where l_linenumber <> 7""",
+    "late_column_choice": f"""select file_name as source_file, {_ROW}, cast(l_orderkey as double) as time,
+        case kind when 2 then l_quantity when 0 then l_tax end as lat, case kind when 1 then l_tax when 0 then l_quantity end as lon,
+        cast(null as double) as alt from ({_CHOICE}) where not bad and l_linenumber <> 7""",
+    "campaign_counters": f"""with f as (select concat('S', cast(s_suppkey as varchar), '.ict') as file_name, s_suppkey % 7 = 0 as bad from supplier),
+          n as (select file_name, count(*) filter (l_linenumber <> 7) as n_rows, count(*) filter (l_linenumber = 7) as n_corrupt
+          from ({_CHOICE}) where not bad group by file_name)
+        select file_name, nullif(n_rows, 0) as n_rows, case when bad then 'no flight date' end as error, nullif(n_corrupt, 0) as n_corrupt
+        from f left join n using (file_name) where bad or n_rows > 0 or n_corrupt > 0""",
+    "ingest_unreadable": """with f as (select l_suppkey % 7 = 0 as bad, count(*) filter (l_linenumber <> 7) as good
+          from lineitem group by l_suppkey, l_orderkey // 200000),
+        e as (select 'file cannot be read' as error, cast(1 as bigint) as n_errors
+          union all select 'no table header found', count(*) from f where bad having count(*) > 0)
+        select 'MC3E' as "Campaign", (select cast(sum(good) as bigint) from f where not bad) as n_rows, error, n_errors from e""",
+}

@@ -674,6 +674,47 @@ def ingest_bad_rows(spark, d):
     return _icartt_tables(spark, d).corrupt_rows().select(c("file_name").alias("source_file"), c("line_no").alias("row_no"), "value")
 
 
+@query
+def ingest_quoted(spark, d):
+    """Cells in quotes hold commas and doubled quotes; a quote that stays open is a character."""
+    note = (
+        F.when(c("l_linenumber") == 2, '"a, b"').when(c("l_linenumber") == 3, '"x ""y"", z"').when(c("l_linenumber") == 4, '"open')
+        .when(c("l_linenumber") == 5, 'p "q"').when(c("l_linenumber") == 6, '""').otherwise("plain")
+    )
+    price = F.concat(F.lit('"'), _s("l_extendedprice"), F.lit('"'))
+    line = F.concat_ws(",", _s("l_orderkey"), note, price, F.when(c("l_linenumber") == 7, '"one, cell", "too", many'))
+    header = [F.lit("3, 1001"), F.lit("2001, 02, 03"), F.lit("Time_UTC, note, price, last")]
+    tables = _open(_supplier_files(spark, d, "Q", ".ict"), header, _line_rows(spark, d, "Q", ".ict", line), ICARTT)
+    return tables.rows({"time": "Time_UTC", "price": "price"}, {"note": "note"}).select("source_file", "row_no", "time", "price", "note")
+
+
+def _choice_tables(spark, d):
+    """Files of three kinds whose position columns have different names; every seventh has no date."""
+    key = c("s_suppkey")
+    names = F.when(key % 3 == 1, "Time, qty, LON_a, disc").when(key % 3 == 2, "Time, GPS_Lat, LON_b, disc").otherwise("Time, LON_a, GPS_Lat, PLATE")
+    header = [F.lit("3, 1001"), F.when(key % 7 == 0, "no date").otherwise("2001, 02, 03"), names]
+    line = F.concat_ws(",", _s("l_orderkey"), _s("l_quantity"), _s("l_tax"), _s("l_discount"), F.when(c("l_linenumber") == 7, "1"))
+    return _open(_supplier_files(spark, d, "N", ".ict"), header, _line_rows(spark, d, "N", ".ict", line), ICARTT)
+
+
+_CHOICE = {k: (lambda name, k=k: name.contains(k)) for k in ("lat", "lon", "alt")}
+
+
+@query
+def late_column_choice(spark, d):
+    """One column for a role in all files, chosen after all have been parsed."""
+    return _choice_tables(spark, d).late_rows({"time": "Time"}, _CHOICE).select("source_file", "row_no", "time", *_CHOICE)
+
+
+@query
+def campaign_counters(spark, d):
+    """What the pass that staged the rows found out about each file."""
+    tables = _choice_tables(spark, d)
+    n_rows = tables.late_rows({"time": "Time"}, _CHOICE).groupBy(c("source_file").alias("file_name")).agg(F.count("*").alias("n_rows"))
+    files = tables.errors().select("file_name", "error").join(tables.corrupt_counts().select("file_name", c("n_rows").alias("n_corrupt")), "file_name", "full")
+    return n_rows.join(files, "file_name", "full").select("file_name", "n_rows", "error", "n_corrupt")
+
+
 @query
 def ingest_file_errors(spark, d):
     """Files that lack a date, names or a header are reported, not fatal."""
@@ -827,12 +868,13 @@ def ingest_fixed_binary(spark, d):
 def _raw_files(spark: SparkSession, d: str, header: list[Column], bad_header: Column, line: Column) -> str:
     """A raw text file for each supplier, with a row for each of its line items; the folder.
 
-    Executors write the files, one per row of text. A header is ``bad_header`` for every seventh supplier.
+    Executors write the files, one per row of text. A header is ``bad_header`` for every seventh supplier. Items go to
+    another file of the supplier every 200,000 order keys, so that a file is bounded.
     """
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/raw-{uuid4().hex}"
     at = c("l_orderkey") * F.lit(8) + c("l_linenumber")
-    files = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), line.alias("line")))).alias("rows"))
+    files = table(spark, d, "lineitem").groupBy("l_suppkey", F.floor(c("l_orderkey") / 200_000).alias("part")).agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), line.alias("line")))).alias("rows"))
     top = F.when(c("l_suppkey") % 7 == 0, bad_header).otherwise(F.concat_ws("\n", *header))
     text = F.concat_ws("\n", top, F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
     files.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
@@ -858,6 +900,23 @@ def campaign_mc3e(spark, d):
     return df.select(ntz(c("Timestamp")).alias("stamp"), "Campaign", "Tair_C", r6(c("Si")).alias("Si"), "Lat", "Lon", "Alt_m")
 
 
+@query
+def ingest_unreadable(spark, d):
+    """Files that cannot be read are errors of their own: text under the name of an archive, beside a campaign's files."""
+    folder = _mc3e_files(spark, d)
+    table(spark, d, "region").select("r_name").coalesce(1).write.text(folder + "-text")
+    fs = spark._jvm.org.apache.hadoop.fs
+    away = fs.Path(folder + "-text")
+    system = away.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in system.listStatus(away):
+        if status.getPath().getName().startswith("part-"):
+            system.rename(status.getPath(), fs.Path(folder, "damaged.gz"))
+    done = harmonise(spark, [CampaignSpec("MC3E", folder)])
+    rows = done.table.groupBy("Campaign").agg(F.count("*").alias("n_rows"))
+    errors = done.errors.groupBy("Campaign", "error").agg(F.count("*").alias("n_errors"))
+    return rows.join(errors, "Campaign").select("Campaign", "n_rows", "error", "n_errors")
+
+
 @query
 def harmonise_report(spark, d):
     """What the combined job says about files and rows that it could not use, and about a campaign that is not there."""

@@ -52,13 +52,35 @@ class TableFormat:
     repeated_names_fail: bool = True
 
     def tokens(self, line: Column) -> Column:
-        return F.split(strip(line), r"\s+") if self.blank_separated else F.split(line, ",")
+        return F.split(strip(line), r"\s+") if self.blank_separated else comma_cells(line)
 
     def cell_count(self, line: Column) -> Column:
         """Number of cells without building them."""
         if self.blank_separated:
             return F.regexp_count(line, F.lit(r"\S+"))
-        return F.length(line) - F.length(F.replace(line, F.lit(","), F.lit(""))) + 1
+        commas = F.length(line) - F.length(F.replace(line, F.lit(","), F.lit(""))) + 1
+        quoted = F.regexp_count(F.concat(F.lit(","), line), F.lit(_CELL))
+        return F.when(F.contains(line, F.lit('"')), quoted).otherwise(commas)
+
+
+#: a comma and its cell: quoted to the next comma or the end, with doubled quotes inside, or anything up to a comma
+_CELL = r',("[^"]*+(?:""[^"]*+)*+"(?=,|$)|[^,]*)'
+
+
+def comma_cells(line: Column) -> Column:
+    """Cells between commas; a quoted cell may hold commas, and loses its quotes.
+
+    A quote that is not closed before a comma or the end of the line, or that
+    does not come first in its cell, is an ordinary character.
+    """
+    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1))
+
+    def bare(cell: Column) -> Column:
+        inside = F.substring(cell, F.lit(2), F.length(cell) - 2)
+        closed = cell.startswith('"') & cell.endswith('"') & (F.length(cell) > 1)
+        return F.when(closed, F.replace(inside, F.lit('""'), F.lit('"'))).otherwise(cell)
+
+    return F.when(F.contains(line, F.lit('"')), F.transform(cells, bare)).otherwise(F.split(line, ","))
 
 
 # ------------------------------------------------------------------- names
