@@ -391,3 +391,7 @@ ORACLE |= {
           union all select 'no table header found', count(*) from f where bad having count(*) > 0)
         select 'MC3E' as "Campaign", (select cast(sum(good) as bigint) from f where not bad) as n_rows, error, n_errors from e""",
 }
+
+ORACLE["harmonise_run"] = f"""select x as "Campaign", count(*) as n_rows, min({clock_after('2011-04-25', 'l_orderkey')}) as first,
+    {r6('avg(tair)')} as mean_t, cast(1 as bigint) as n_failed
+    from ({_MC3E}), (values ('MC3E'), ('SECOND')) v(x) where not bad and l_linenumber <> 7 group by x"""

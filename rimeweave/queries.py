@@ -19,7 +19,7 @@ from .plans.campaigns import (
     ESCAPE_FORMAT, ICARTT, IPHEX_FORMAT, IPHEX_RULES, ISDAC_FORMAT, NAMES_BEFORE_LAST, NAMES_WITH_UNITS,
     OLYMPEX_FORMAT, POSITION_FORMAT, SI_RANGE, Refinement, attrex_instrument, refine,
 )
-from .plans.harmonise import campaign, harmonise
+from .plans.harmonise import campaign, harmonise, run
 from .session import ensure_checkpoint_dir
 from .sources import formats as fm
 from .sources.files import stem_of
@@ -917,6 +917,20 @@ def ingest_unreadable(spark, d):
     return rows.join(errors, "Campaign").select("Campaign", "n_rows", "error", "n_errors")
 
 
+@query
+def harmonise_run(spark, d):
+    """The combined job: two campaigns written at the same time, one that is not there, and the table read back."""
+    folder = _mc3e_files(spark, d)
+    done = run(
+        spark, [CampaignSpec("MC3E", folder), CampaignSpec("SECOND", folder, kind="MC3E"), CampaignSpec("GONE", folder + "-none", kind="MC3E")],
+        folder + ".parquet",
+    )
+    rows = spark.read.parquet(folder + ".parquet").groupBy("Campaign").agg(
+        F.count("*").alias("n_rows"), ntz(F.min("Timestamp")).alias("first"), r6(F.avg("Tair_C")).alias("mean_t")
+    )
+    return rows.withColumn("n_failed", F.lit(len(done.failed)).cast("long"))
+
+
 @query
 def harmonise_report(spark, d):
     """What the combined job says about files and rows that it could not use, and about a campaign that is not there."""

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import threading
 from pathlib import Path
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rimeweave.operators import guards
 from rimeweave.operators.project import STANDARD_COLUMNS
-from rimeweave.plans import campaigns as pc
+from rimeweave.plans import campaigns as pc, harmonise as harmonise_module
 from rimeweave.plans.harmonise import campaign, harmonise, run
 from rimeweave.sources.formats import ScannedHeader, TableFormat, comma_names
 from rimeweave.sources.tables import open_files
@@ -236,3 +237,18 @@ def test_late_headers_and_equal_names(spark, folders, tmp_path):
         tables = open_files(spark, str(tmp_path / "two"), fmt, recursive=True, whole_limit=limit)
         got = tables.guarded_rows({"t": "T"}, [guards.kelvin_guard("t")]).collect()
         assert len(got) == 10 and all(19 < r.t < 26 for r in got)
+
+
+def test_campaigns_are_written_at_the_same_time(spark, folders, tmp_path, monkeypatch):
+    """Each job waits until the other one has begun."""
+    both = threading.Barrier(2, timeout=120)
+    save = harmonise_module.save_campaign
+
+    def waiting(df, path, name):
+        both.wait()
+        save(df, path, name)
+
+    monkeypatch.setattr(harmonise_module, "save_campaign", waiting)
+    output = str(tmp_path / "both.parquet")
+    report = run(spark, [CampaignSpec("MC3E", folders["MC3E"]), CampaignSpec("OLYMPEX", folders["OLYMPEX"])], output)
+    assert not report.failed and {r.Campaign for r in spark.read.parquet(output).collect()} == {"MC3E", "OLYMPEX"}
