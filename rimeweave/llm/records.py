@@ -10,7 +10,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import map_arrow, slices, texts_of
 
@@ -115,7 +115,7 @@ def write_records(
     ordered = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
 
     framed = map_arrow(ordered, partial(_framed, tokenizer_path, end_id), "value binary")
-    framed.select(F.col("value").cast("string")).write.text(f"{folder}/data")
+    framed.select(F.col("value").cast("string")).write.option("compression", "none").text(f"{folder}/data")
     _scan(spark, folder, with_ids=False).write.parquet(f"{folder}/index")
 
 
@@ -177,17 +177,23 @@ def _records(with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
                 yield batch(rows, ids)
 
 
+def shard_order(shard: str) -> list[Column]:
+    """Order of shards: the number of the writer's task, then the name."""
+    return [F.regexp_extract(shard, r"^part-(\d+)", 1).cast("long"), F.col(shard)]
+
+
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """All records with checked checksums: id, `start` (tokens of all records before), n_tokens, ids (packed 32-bit).
 
-    One row per shard is summed up from the index and ordered by name, so no record leaves its task for `start`.
+    One row per shard is summed up from the index and ordered by the number in its name (as text, 100000 would come
+    before 99999), so no record leaves its task for `start`.
     """
     index = spark.read.parquet(f"{folder}/index")
     totals = index.groupBy(F.col("shard").alias("_shard")).agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(*shard_order("_shard")).rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("_shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     records = _scan(spark, folder, with_ids=True)
-    return records.join(F.broadcast(bases), F.col("shard") == F.col("_shard")).select(
+    return records.join(bases, F.col("shard") == F.col("_shard")).select(
         "id", (F.col("base") + F.col("tokens_before")).alias("start"), "n_tokens", "ids", "shard", "offset", "length"
     )
 

@@ -67,3 +67,9 @@ def test_damage_is_found():
             list(records.parse(bytes(bad)))
     with pytest.raises(ValueError):
         list(records.parse(good[:-5]))
+
+
+def test_shards_are_ordered_by_number(spark):
+    names = ["part-00002-x.txt", "part-100000-x.txt", "part-99999-x.txt"]
+    rows = spark.createDataFrame([(n,) for n in names], "shard string").orderBy(*records.shard_order("shard")).collect()
+    assert [r.shard for r in rows] == [names[0], names[2], names[1]]
