@@ -230,6 +230,8 @@ ORACLE: dict[str, str] = {
     "campaign_summary": f"""{REFINED} select "Campaign", count("Timestamp") as n_records, min("Timestamp") as earliest, max("Timestamp") as latest,
         {r6('avg("Tair_C")')} as tair_mean, {r6('stddev_samp("Tair_C")')} as tair_std, {r6('avg("Si")')} as si_mean, {r6('stddev_samp("Si")')} as si_std
         from std group by 1""",
+    "sink_roundtrip": f"""{REFINED} select "Campaign", count(*) as n_rows, min("Timestamp") as earliest, max("Timestamp") as latest,
+        cast(0 as bigint) as n_out_of_order, count("Si") as n_si from std group by 1""",
     "missing_report": f"""{REFINED}, k as (""" + " union all ".join(
         f"""select '{n}' as column_name, count(*) - count("{n}") as n_missing, count(*) as total from std"""
         for n in ("Timestamp", *DOUBLES, "Campaign", "source_file")

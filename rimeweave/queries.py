@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .fixture import ntz, numbered_lines, obs, r6, table
 from .functions import clock, masks, names as N, numeric, thermo
@@ -25,6 +25,7 @@ from .sources import formats as fm
 from .sources.files import stem_of
 from .sources.layout import key_value_metadata, metadata_marks_bad
 from .sources.records import decode_records
+from .sources.sinks import read_run, save_run
 from .sources.tables import open_lines
 from .specs import (
     AIRS_II_VARIABLES, ARM_RECORD, ATTREX_TIME_FALLBACKS, COMMON_SENTINELS, ESCAPE_CANDIDATES, FROST_MARGIN,
@@ -445,6 +446,23 @@ def campaign_summary(spark, d):
     return rounded(summary.campaign_summary(standard(spark, d)))
 
 
+@query
+def sink_roundtrip(spark, d):
+    """Two runs written, the last one read by the manifest, and the order inside its files."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/sink-{uuid4().hex}"
+    rows = standard(spark, d)
+    save_run(rows.limit(0), path)
+    save_run(rows, path)
+    read = read_run(spark, path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    in_file = Window.partitionBy("Campaign", "file").orderBy("at")
+    late = F.coalesce(F.lag("Timestamp").over(in_file) > F.col("Timestamp"), F.lit(False))
+    return read.withColumn("late", late).groupBy("Campaign").agg(
+        F.count("*").alias("n_rows"), F.min("Timestamp").alias("earliest"), F.max("Timestamp").alias("latest"),
+        F.sum(F.col("late").cast("long")).alias("n_out_of_order"), F.count("Si").alias("n_si"),
+    )
+
+
 @query
 def missing_report(spark, d):
     return summary.missing_report(standard(spark, d))

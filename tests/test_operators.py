@@ -130,3 +130,16 @@ def test_generic_projection_and_sources(spark):
     assert (row.Tair_C, row.Campaign, row.source_file, row.Lat, row.Timestamp) == (1.5, "NEW", "x", None, None)
     joined = df.select(project.joined_sources(["source_file", "source_file_b"], "+").alias("s")).first()
     assert joined.s == "x+nan"
+
+
+def test_only_complete_runs_are_read(spark, tmp_path):
+    from rimeweave.sources.sinks import read_run, save_run
+
+    rows = spark.range(100).selectExpr("if(id % 3 = 0, 'A', 'B') as Campaign", "timestamp_seconds(1000 - id) as Timestamp", "id")
+    save_run(rows, str(tmp_path), rows_per_file=10)
+    rows.write.parquet(f"{tmp_path}/runs/unfinished")
+    assert sorted(r.id for r in read_run(spark, str(tmp_path)).collect()) == list(range(100))
+    sizes = read_run(spark, str(tmp_path)).groupBy("_metadata.file_path").count().collect()
+    assert max(r["count"] for r in sizes) <= 10
+    save_run(rows.filter("id < 7"), str(tmp_path))
+    assert read_run(spark, str(tmp_path)).count() == 7
