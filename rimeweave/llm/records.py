@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -10,14 +11,17 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import map_arrow, slices, texts_of
 
 #: Documents to a shard file.
 DOCS_PER_SHARD = 4096
-#: Chunks that a Python worker remembers; beyond that it starts its table afresh.
-MOST_CHUNKS = 500_000
+#: Bytes, about, of chunks that a Python worker remembers; beyond that it starts its table afresh.
+MOST_CHUNK_BYTES = 128 << 20
+#: Bytes of an entry besides its text and ids, and characters of a chunk that is not remembered.
+ENTRY_BYTES, LONG_CHUNK = 200, 1000
 # fixed values: constant and rotation that mask a checksum, as in common record files
 MASK, TURN = 0xA282EAD8, 15
 #: A record: length of the payload, checksum of the length, payload, checksum of the payload, line feed.
@@ -26,7 +30,9 @@ HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<I")
 PAYLOAD = struct.Struct("<q?B")
 INDEX_SCHEMA = "shard string, id long, offset long, length long, n_tokens long, tokens_before long"
 #: A blank after one of these is the start of a new pre-token in any byte-level BPE, so it cannot be merged across.
-NOT_SURE = re.compile(r"(?:[^!-~0-9A-Za-zÀ-ÖØ-öø-ɏ]|^) ")
+NOT_SURE = re.compile(r" (?<![!-~A-Za-zÀ-ÖØ-öø-ɏ] )")
+#: After letters these begin a pre-token of their own under the plain byte-level pattern (an apostrophe need not).
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def masked(data: bytes) -> int:
@@ -44,7 +50,9 @@ class Encoder:
     """Token ids of whole texts; a blank-separated chunk that comes again is not tokenized again.
 
     In byte-level BPE a pre-token takes at most one blank, its first character. So a text may be cut before a blank
-    that follows a visible character. Where that is not plain from the character, the text is tokenized whole.
+    that follows a visible character. Where that is not plain from the character, the text is tokenized whole. Under
+    the plain byte-level pattern a new chunk of letters with signs at its end is put together from both, so a word with
+    other punctuation is not tokenized again. The table is bounded in bytes, and long chunks are not kept.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -60,7 +68,15 @@ class Encoder:
         pieces = sorted(self.tokenizer.get_vocab().items(), key=lambda item: item[1])
         self.starts = np.zeros(pieces[-1][1] + 1, bool)  # tokens that begin with a blank
         self.starts[[at for piece, at in pieces if piece.startswith("Ġ")]] = True
-        self.ids: dict[str, bytes] = {}
+        split = json.loads(self.tokenizer.to_str())
+        split = (split.get("pre_tokenizer") or {}) if not split.get("normalizer") else {}
+        self.fine = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids: dict[str, bytes] = {}  # of chunks with a blank before them
+        self.tails: dict[str, bytes] = {}  # of pieces without one
+        self.held = 0
 
     def _tokenized(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -78,16 +94,52 @@ class Encoder:
         packed, at = ids.tobytes(), (at * self.kind.itemsize).tolist()
         return [packed[i:j] for i, j in zip(at, [*at[1:], len(packed)])]
 
+    def _keep(self, table: dict[str, bytes], keys: list[str], packed: list[bytes]) -> None:
+        table.update(zip(keys, packed))
+        self.held += ENTRY_BYTES * len(keys) + sum(map(len, keys)) + sum(map(len, packed))
+
+    def _learn(self, new: set[str]) -> None:
+        heads, several = new, []
+        if self.fine:
+            heads = set()
+            for chunk in new:
+                stem = chunk.rstrip(SIGNS)
+                if stem is chunk or not stem.isalpha():
+                    heads.add(chunk)
+                else:
+                    heads.add(stem)
+                    several.append(chunk)
+        wanted = list(heads.difference(self.ids))
+        self._keep(self.ids, wanted, self._chunks(wanted))
+        stems = [chunk.rstrip(SIGNS) for chunk in several]
+        ends = [chunk[len(stem) :] for chunk, stem in zip(several, stems)]
+        wanted = list(set(ends).difference(self.tails))
+        self._keep(self.tails, wanted, self._tokenized(wanted))
+        self._keep(self.ids, several, [self.ids[stem] + self.tails[end] for stem, end in zip(stems, ends)])
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.ids) > MOST_CHUNKS:
-            self.ids = {}
-        cut = [[text] if NOT_SURE.search(text + " ") else text.split(" ") for text in texts]
-        new = list(set().union(*(chunks[1:] for chunks in cut)).difference(self.ids))
-        self.ids.update(zip(new, self._chunks(new)))
-        heads = list({chunks[0] for chunks in cut})
-        first = dict(zip(heads, self._tokenized(heads)))
-        ids_of = self.ids.__getitem__
-        return [first[chunks[0]] + b"".join(map(ids_of, chunks[1:])) + self.end for chunks in cut]
+        if self.held > MOST_CHUNK_BYTES:
+            self._forget()
+        cut = [" " in text and not NOT_SURE.search(text + " ") for text in texts]
+        chunks = pc.split_pattern(pa.array([t for t, c in zip(texts, cut) if c], pa.large_string()), " ")
+        coded, edges = chunks.flatten().dictionary_encode(), chunks.offsets.to_pylist()
+        known = coded.dictionary.to_pylist()
+        new = set(known).difference(self.ids)
+        self._learn(new)
+        ids = pa.array(map(self.ids.__getitem__, known), pa.large_binary()).take(coded.indices)
+        data, at = memoryview(ids.buffers()[2] or b""), np.frombuffer(ids.buffers()[1], np.int64)
+        whole = [text if not c else text[: text.index(" ")] for text, c in zip(texts, cut)]
+        heads = list(set(whole))
+        first, packed, text_no = dict(zip(heads, self._tokenized(heads))), [], 0
+        for head, c in zip(whole, cut):
+            rest = data[at[edges[text_no] + 1] : at[edges[text_no + 1]]] if c else b""
+            packed.append(b"".join((first[head], rest, self.end)))
+            text_no += c
+        if any(len(chunk) > LONG_CHUNK for chunk in new):
+            for table in (self.ids, self.tails):
+                for key in [key for key in table if len(key) > LONG_CHUNK]:
+                    self.held -= ENTRY_BYTES + len(key) + len(table.pop(key))
+        return packed
 
 
 @lru_cache(maxsize=2)
