@@ -24,6 +24,8 @@ MOST_CHUNK_BYTES = 128 << 20
 ENTRY_BYTES, LONG_CHUNK = 200, 1000
 # fixed values: constant and rotation that mask a checksum, as in common record files
 MASK, TURN = 0xA282EAD8, 15
+#: Totals of up to so many shards, a few bytes each, are broadcast; beyond that records meet them in a shuffle.
+MOST_BROADCAST_SHARDS = 200_000
 #: A record: length of the payload, checksum of the length, payload, checksum of the payload, line feed.
 HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<I")
 #: A payload: document id, whether there is one, bytes per token id, then the ids, little-endian.
@@ -123,7 +125,7 @@ class Encoder:
         cut = [" " in text and not NOT_SURE.search(text + " ") for text in texts]
         chunks = pc.split_pattern(pa.array([t for t, c in zip(texts, cut) if c], pa.large_string()), " ")
         coded, edges = chunks.flatten().dictionary_encode(), chunks.offsets.to_pylist()
-        known = coded.dictionary.to_pylist()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = set(known).difference(self.ids)
         self._learn(new)
         ids = pa.array(map(self.ids.__getitem__, known), pa.large_binary()).take(coded.indices)
@@ -234,16 +236,19 @@ def shard_order(shard: str) -> list[Column]:
     return [F.regexp_extract(shard, r"^part-(\d+)", 1).cast("long"), F.col(shard)]
 
 
-def read_records(spark: SparkSession, folder: str) -> DataFrame:
+def read_records(spark: SparkSession, folder: str, most_broadcast: int = MOST_BROADCAST_SHARDS) -> DataFrame:
     """All records with checked checksums: id, `start` (tokens of all records before), n_tokens, ids (packed 32-bit).
 
     One row per shard is summed up from the index and ordered by the number in its name (as text, 100000 would come
-    before 99999), so no record leaves its task for `start`.
+    before 99999). Shards are counted: up to `most_broadcast` their sums are broadcast, so no record leaves its task
+    for `start`.
     """
     index = spark.read.parquet(f"{folder}/index")
     totals = index.groupBy(F.col("shard").alias("_shard")).agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy(*shard_order("_shard")).rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("_shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if index.select("shard").distinct().count() <= most_broadcast:
+        bases = F.broadcast(bases)
     records = _scan(spark, folder, with_ids=True)
     return records.join(bases, F.col("shard") == F.col("_shard")).select(
         "id", (F.col("base") + F.col("tokens_before")).alias("start"), "n_tokens", "ids", "shard", "offset", "length"

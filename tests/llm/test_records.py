@@ -33,6 +33,7 @@ def test_round_trip(spark, documents, tokenizer):
     folder = shared_folder(spark, "records-test")
     records.write_records(documents(*pairs), folder, PATH, 2, docs_per_shard=50)
     rows = sorted(records.read_records(spark, folder).collect(), key=lambda r: r.start)
+    assert sorted(records.read_records(spark, folder, most_broadcast=0).collect(), key=lambda r: r.start) == rows
     start = 0
     for row, (key, text) in zip(rows, sorted(pairs, key=lambda p: (p[0], p[1] or "")), strict=True):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
@@ -73,3 +74,15 @@ def test_shards_are_ordered_by_number(spark):
     names = ["part-00002-x.txt", "part-100000-x.txt", "part-99999-x.txt"]
     rows = spark.createDataFrame([(n,) for n in names], "shard string").orderBy(*records.shard_order("shard")).collect()
     assert [r.shard for r in rows] == [names[0], names[2], names[1]]
+
+
+def test_chunk_table_is_bounded(tokenizer, monkeypatch):
+    monkeypatch.setattr(records, "MOST_CHUNK_BYTES", 2_000)
+    made = records.Encoder(PATH, 2)
+    rng = random.Random(5)
+    for turn in range(20):
+        words = ["".join(rng.choice("abcé,.!\n'1_") for _ in range(rng.randrange(1, 9))) for _ in range(40)]
+        texts = [" ".join(words), "x" * 3000 + " " + "y" * 3000 + "!!", ""]
+        got = made.encode(texts)
+        assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u2").tobytes() for t in texts]
+        assert all(len(chunk) <= records.LONG_CHUNK for chunk in made.ids) and len(made.ids) < 200
