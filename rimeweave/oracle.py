@@ -357,6 +357,11 @@ ORACLE |= {
         select concat(cast(l_orderkey as varchar), '-', cast(l_linenumber as varchar)) as source_file,
           make_timestamp(2000 + cast(year(l_shipdate) as bigint) % 100, month(l_shipdate), day(l_shipdate), 0, 0, 0) + to_seconds(s) as stamp,
           {r6('t')} as tair, {r6(si_mk('f', 't'))} as si, {r6('round(l_extendedprice*10)/1000 - 100')} as alt_m, cast(0 as double) as last_field from x""",
+    "ingest_binary_gzip": f"""with x as (select concat(cast(l_suppkey as varchar), '-', cast(l_orderkey // 200000 as varchar)) as source_file, l_suppkey % 7 as kind,
+          trunc((l_quantity + 100)*1000)/1000 - 100 as t from lineitem)
+        select source_file, count(*) filter (where kind > 1) as n_rows, case when kind > 1 then count(*) - 1 end as last_row,
+          {r6('sum(t) filter (where kind > 1)')} as tair_sum, true as in_order,
+          case kind when 0 then 'length is not a whole number of records' when 1 then 'cannot unpack' end as error from x group by source_file, kind""",
 }
 
 # ------------------------------------------------ whole campaigns from raw files

@@ -24,7 +24,7 @@ from .session import ensure_checkpoint_dir
 from .sources import formats as fm
 from .sources.files import stem_of
 from .sources.layout import key_value_metadata, metadata_marks_bad
-from .sources.records import decode_records
+from .sources.records import decode_records, open_records
 from .sources.sinks import read_run, save_run
 from .sources.tables import open_lines
 from .specs import (
@@ -881,6 +881,50 @@ def ingest_fixed_binary(spark, d):
     )
 
 
+@query
+def ingest_binary_gzip(spark, d):
+    """Compressed record files that executors write, many records each, read back whole.
+
+    The writer ends a row with a line feed, which is the last byte of each record. Every seventh supplier has a file
+    of wrong length, the supplier after it one that only looks compressed.
+    """
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/records-{uuid4().hex}"
+
+    def word(value: Column) -> Column:
+        return F.lpad(F.hex(value.cast("bigint")), 8, "0")
+
+    kind = c("l_suppkey") % 7
+    packed = {
+        "Date": word(c("l_orderkey")),
+        "Air_Temp_Rosemount_C": word((c("l_quantity") + num(100)) * num(1000)),
+        "DP2_Mean_Vol_Diam_um": F.substring(word(c("l_linenumber") * 256 + 10), 1, 6),
+    }
+    bytes_ = F.unhex(F.concat(*[packed.get(n, F.lit("000186A0")) for n in ARM_RECORD]))
+    file = F.concat_ws("-", _s("l_suppkey"), F.floor(c("l_orderkey") / 200_000).cast("string"))
+    items = table(spark, d, "lineitem").withColumns({"file": file, "kind": kind, "value": bytes_.cast("string")})
+    items = items.select("file", "kind", "l_orderkey", "l_linenumber", "value")
+    ends = items.filter("kind < 2").groupBy("file", "kind").agg(
+        F.when(c("kind") == 0, F.lit(9_000_000_000)).otherwise(F.lit(-1)).alias("l_orderkey")
+    )
+    odd = F.when(c("kind") == 0, F.lit("x")).otherwise(F.unhex(F.lit("1F8BFF")).cast("string"))
+    rows = items.unionByName(ends.select("file", "kind", "l_orderkey", F.lit(0).alias("l_linenumber"), odd.alias("value")))
+    for name, chosen, codec in (("packed", "kind != 1", "gzip"), ("plain", "kind = 1", "none")):
+        sorted_ = rows.filter(chosen).repartition("file").sortWithinPartitions("file", "l_orderkey", "l_linenumber")
+        sorted_.select("file", "value").write.partitionBy("file").option("compression", codec).text(f"{folder}/{name}")
+    read = open_records(spark, folder, ARM_RECORD, "part-*", recursive=True)
+    at = F.struct(c("Date").cast("bigint"), F.floor(c("DP2_Mean_Vol_Diam_um") / 256))
+    before = F.lag(at).over(Window.partitionBy("path").orderBy("row_no"))
+    read = read.withColumn("sorted", F.coalesce(before <= at, F.lit(True)))
+    tair = numeric.packed_decimal(c("Air_Temp_Rosemount_C"))
+    return rounded(
+        read.groupBy(F.regexp_extract("path", "/file=([^/]+)/", 1).alias("source_file")).agg(
+            F.count("row_no").alias("n_rows"), F.max("row_no").alias("last_row"), F.sum(tair).alias("tair_sum"),
+            F.every("sorted").alias("in_order"), F.max(F.substring_index("error", ":", 1)).alias("error"),
+        )
+    )
+
+
 # ------------------------------------------------ whole campaigns from raw files
 
 def _raw_files(spark: SparkSession, d: str, header: list[Column], bad_header: Column, line: Column) -> str:

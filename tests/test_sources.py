@@ -2,10 +2,12 @@
 
 import gzip
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rimeweave.plans.campaigns import ARM_RECORD, ESCAPE_FORMAT, ICARTT, IPHEX_FORMAT, NAMES_BEFORE_LAST
+from rimeweave.sources import records
 from rimeweave.sources.files import list_files, read_split_lines
 from rimeweave.sources.records import open_records
 from rimeweave.sources.tables import open_files, open_lines
@@ -172,3 +174,24 @@ def test_files_without_a_required_column_are_errors(spark, tmp_path):
     tables = open_files(spark, str(tmp_path), ICARTT, "*.ict", require=need)
     assert [(r.file_name, r.error) for r in tables.errors().collect()] == [("b.ict", "no UT column")]
     assert [r.source_file for r in tables.rows({"x": "x"}).collect()] == ["a.ict"]
+
+
+def test_binary_records_unpack_piece_by_piece(spark, monkeypatch):
+    monkeypatch.setattr(records, "BATCH_RECORDS", 7)
+    data = np.arange(200, dtype=">i4").tobytes()
+    packed = gzip.compress(data)
+    damaged = packed[:20] + bytes(reversed(packed[20:40])) + packed[40:]
+    contents = {
+        "plain": data, "packed": packed, "members": gzip.compress(data[:100]) + gzip.compress(data[100:]), "cut": packed[:-9],
+        "damaged": damaged, "odd": gzip.compress(data + b"x"), "empty": b"", "none": None, "nothing": gzip.compress(b""),
+    }
+    df = spark.createDataFrame([(k, v and bytearray(v)) for k, v in contents.items()], "path string, content binary")
+    found = {}
+    for row in records.decode_records(df, ["a", "b"]).collect():
+        found.setdefault(row.path, []).append((row.row_no, row.a, row.b, row.error))
+    whole = [(i, 2 * i, 2 * i + 1, None) for i in range(100)]
+    assert all(sorted(found[k]) == whole for k in ("plain", "packed", "members"))
+    assert {k: found[k][0][3].split(":")[0] for k in ("cut", "damaged", "odd")} == {
+        "cut": "cannot unpack", "damaged": "cannot unpack", "odd": "length is not a whole number of records"
+    }
+    assert not {"empty", "none", "nothing"} & set(found) and all(len(found[k]) == 1 for k in ("cut", "damaged", "odd"))
