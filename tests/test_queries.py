@@ -48,3 +48,20 @@ def test_plans(spark, name):
 def test_scans_are_pruned(spark):
     plan = entry.queries()["guard_feet"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,event_type:string>" in plan
+
+
+@pytest.fixture(scope="module")
+def late_keys(tmp_path_factory):
+    """The small tables with keys around 999999, which is also a fill value."""
+    folder = tmp_path_factory.mktemp("late")
+    con = oracle_connection(SF)
+    con.execute(f"""copy (select * replace (l_orderkey + 999990 as l_orderkey, l_partkey + 999990 as l_partkey)
+        from lineitem where l_orderkey < 100) to '{folder}/lineitem.parquet'""")
+    con.execute(f"copy supplier to '{folder}/supplier.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["ingest_fixed_names"])
+def test_a_time_may_equal_a_fill_value(spark, late_keys, name):
+    got = entry.queries()[name](spark, late_keys).toPandas()
+    assert compare(got, oracle_connection(late_keys).execute(entry.oracle_sql()[name]).df()) == ""
