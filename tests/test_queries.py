@@ -61,7 +61,7 @@ def late_keys(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["ingest_fixed_names"])
+@pytest.mark.parametrize("name", ["ingest_fixed_names", "ingest_whitespace"])
 def test_a_time_may_equal_a_fill_value(spark, late_keys, name):
     got = entry.queries()[name](spark, late_keys).toPandas()
     assert compare(got, oracle_connection(late_keys).execute(entry.oracle_sql()[name]).df()) == ""
