@@ -24,6 +24,13 @@ def test_numbers_from_text(spark):
     assert got == [1.5, 2.0, -9999.0, 1000.0, 0.5, 5.0, None, None, None, None, None, None, None, None, None, 7.0]
 
 
+def test_numbers_of_an_array_trim_once(spark):
+    texts = ["1.5", " 2 ", "-9999", "1e3", ".5", "5.", "NaN", "inf", "-inf", "12d", "12f", "bad", "", None, "1e999", "+7"]
+    df = spark.createDataFrame([(texts,)], "t array<string>").select(numeric.to_numbers(F.col("t")).alias("n"))
+    assert df.first()["n"] == [1.5, 2.0, -9999.0, 1000.0, 0.5, 5.0, None, None, None, None, None, None, None, None, None, 7.0]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("trim(") == 1
+
+
 def test_supersaturation(spark):
     c = F.col
     rows = [(-30.0, -28.0), (-300.0, -28.0), (None, 1.0)]

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from check_queries import compare, oracle_connection
 from rimeweave.oracle import ORACLE
-from rimeweave.queries import QUERIES, _icartt_tables
+from rimeweave.queries import QUERIES, SUPPLIERS_PER_FILE, _icartt_tables, _mc3e_files
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,16 +52,23 @@ def test_scans_are_pruned(spark):
 
 @pytest.fixture(scope="module")
 def late_keys(tmp_path_factory):
-    """The small tables with keys around 999999, which is also a fill value."""
+    """Line items with keys around 999999, which is also a fill value."""
     folder = tmp_path_factory.mktemp("late")
     con = oracle_connection(SF)
-    con.execute(f"""copy (select * replace (l_orderkey + 999990 as l_orderkey, l_partkey + 999990 as l_partkey)
+    con.execute(f"""copy (select * replace (l_orderkey + 999990 as l_orderkey, if(l_linenumber = 1, 999999, l_partkey) as l_partkey)
         from lineitem where l_orderkey < 100) to '{folder}/lineitem.parquet'""")
     con.execute(f"copy supplier to '{folder}/supplier.parquet'")
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["ingest_fixed_names", "ingest_whitespace"])
+@pytest.mark.parametrize("name", ["campaign_mc3e", "ingest_fixed_names", "ingest_whitespace"])
 def test_a_time_may_equal_a_fill_value(spark, late_keys, name):
     got = entry.queries()[name](spark, late_keys).toPandas()
     assert compare(got, oracle_connection(late_keys).execute(entry.oracle_sql()[name]).df()) == ""
+
+
+def test_suppliers_share_raw_files(spark, oracle):
+    """Each raw file costs its writer processes of the file system, so only files with a bad header are small."""
+    bad, good = oracle.execute(f"""select count(distinct (l_suppkey, l_orderkey // 200000)) filter (l_suppkey % 7 = 0),
+        count(distinct (l_suppkey // {SUPPLIERS_PER_FILE}, l_orderkey // 200000)) filter (l_suppkey % 7 <> 0) from lineitem""").fetchone()
+    assert spark.read.format("binaryFile").load(_mc3e_files(spark, SF)).select("path").count() == bad + good
