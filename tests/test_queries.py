@@ -72,3 +72,10 @@ def test_suppliers_share_raw_files(spark, oracle):
     bad, good = oracle.execute(f"""select count(distinct (l_suppkey, l_orderkey // 200000)) filter (l_suppkey % 7 = 0),
         count(distinct (l_suppkey // {SUPPLIERS_PER_FILE}, l_orderkey // 200000)) filter (l_suppkey % 7 <> 0) from lineitem""").fetchone()
     assert spark.read.format("binaryFile").load(_mc3e_files(spark, SF)).select("path").count() == bad + good
+
+
+def test_body_lines_stay_out_of_the_header_shuffle(spark):
+    """Lines are compared with the last header line of all files before the files' headers are gathered."""
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    plan = _icartt_tables(spark, SF).rows({"qty": "qty"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(_h" in plan and "scalar-subquery" in plan
