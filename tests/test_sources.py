@@ -4,7 +4,7 @@ import gzip
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameReader, functions as F
 
 from rimeweave.plans.campaigns import ARM_RECORD, ESCAPE_FORMAT, ICARTT, IPHEX_FORMAT, NAMES_BEFORE_LAST
 from rimeweave.sources import records
@@ -195,3 +195,18 @@ def test_binary_records_unpack_piece_by_piece(spark, monkeypatch):
         "cut": "cannot unpack", "damaged": "cannot unpack", "odd": "length is not a whole number of records"
     }
     assert not {"empty", "none", "nothing"} & set(found) and all(len(found[k]) == 1 for k in ("cut", "damaged", "odd"))
+
+
+def test_record_files_are_listed_once(spark, tmp_path, monkeypatch):
+    """A listing of many folders is a job of its own."""
+    loads, load = [], DataFrameReader.load
+
+    def counted(self, *args, **options):
+        loads.append(args)
+        return load(self, *args, **options)
+
+    monkeypatch.setattr(DataFrameReader, "load", counted)
+    (tmp_path / "a").write_bytes(bytes(8))
+    assert open_records(spark, str(tmp_path), ["x", "y"]).count() == 1 and len(loads) == 1
+    with pytest.raises(FileNotFoundError):
+        open_records(spark, str(tmp_path), ["x", "y"], "*.none")
