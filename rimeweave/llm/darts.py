@@ -128,15 +128,17 @@ def near_duplicates(
     found = classes(links.select("a", "b")).select(F.col("id").alias("key"), F.col("class").alias("_class"))
     ends = links.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     classed = contents.select("key", "id", "copies").join(found, "key", "left").join(ends, "key", "left")
-    classed = classed.withColumn("_class", F.coalesce("_class", "key"))
+    # tables between the steps: each `attach` takes its table twice and plans would multiply
+    classed = written(classed.withColumn("_class", F.coalesce("_class", "key")), "classed")
     least = classed.groupBy("_class").agg(F.min("id").alias("class"), F.count("*").alias("_members"))
     classed = attach(classed, least, "_class", "_members", max(1, classed.count()), "key").select(
         F.col("key").alias("_key"), "class", F.col("copies").alias("n"), "n_links"
     )
+    classed = written(classed, "first-ids")
     key = F.concat_ws("/", "c1", "c2")
     total = max(1, signed.count())
     members = attach(signed.select("id", key.alias("_key")), classed, "_key", "n", total, "id")
-    members = members.groupBy("id").agg(F.min("class").alias("class"), F.max("n_links").alias("n_links"))
+    members = written(members.groupBy("id").agg(F.min("class").alias("class"), F.max("n_links").alias("n_links")), "classes-of-ids")
     sizes = members.groupBy("class").agg(F.count("*").alias("class_size"))
     members = attach(members, sizes, "class", "class_size", total, "id").select(
         F.col("id").alias("_id"), F.col("class").alias("class_id"), "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from rimeweave.llm import shingles
+from rimeweave.llm import common, darts, links, shingles
 from rimeweave.llm.darts import BANDS, ROWS, near_duplicates, signatures
 from rimeweave.llm.links import classes, stars
 
@@ -139,3 +139,20 @@ def test_recall_of_the_bands():
         [signed[:, 1].reshape(300, -1)[:, at::BANDS] for at in range(BANDS)], 1
     )
     assert agree.all(axis=2).any(axis=1).mean() > 0.98
+
+
+def test_plans_stay_small(documents, monkeypatch):
+    """The driver keeps and plans again, at each stage, what a table is made of: no table may repeat the steps before it."""
+    sizes = []
+
+    def measured(df, name):
+        sizes.append((str(df._jdf.queryExecution().executedPlan().toString()).count("Exchange hashpartitioning"), name))
+        return common.written(df, name)
+
+    for module in (darts, links):
+        monkeypatch.setattr(module, "written", measured)
+    rng = random.Random(14)
+    line = [f"w{rng.randrange(1000)}" for _ in range(60)]
+    texts = [(key, " ".join([*line[: 58 + key % 3], str(key % 7)])) for key in range(30)]
+    assert {r.class_id for r in near_duplicates(documents(*texts)).collect()} == {0}
+    assert max(sizes)[0] <= 10, sorted(sizes)[-3:]
