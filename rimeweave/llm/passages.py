@@ -280,9 +280,11 @@ def repeated_paragraphs(texts: DataFrame, threshold: float) -> DataFrame:
 
     classed = contents.join(found.withColumnRenamed("id", "_id"), F.col("content") == F.col("_id"), "left")
     classed = classed.select("content", "n", F.coalesce("class", "content").alias("class"))
-    placed = attach(rows.drop("keys", "near"), classed, "content", "n", total, "id")
+    # tables between the steps: each `attach` takes its table twice and plans would multiply
+    classed = written(classed, "classed")
+    placed = written(attach(rows.drop("keys", "near"), classed, "content", "n", total, "id").select("id", "word", "length", "class"), "placed")
     firsts = placed.groupBy("class").agg(F.min(F.struct("id", "word")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    placed = attach(placed.select("id", "word", "length", "class"), firsts, "class", "n", total, "id").filter("first is not null")
+    placed = attach(placed, firsts, "class", "n", total, "id").filter("first is not null")
     return placed.select("id", "word", "length", "first", "n")
 
 
@@ -346,7 +348,7 @@ def run_ends(texts: DataFrame, places: DataFrame) -> DataFrame:
     met = met.withColumn("left", F.when(F.col("first.id") == F.col("id"), F.least("left", apart)).otherwise(F.col("left")))
     met = met.withColumn("length", F.col("left") + F.col("right") + PASSAGE).filter(F.col("length") > PASSAGE)
     first = F.struct(F.col("first.id").alias("id"), (F.col("first.word") - F.col("left")).alias("word")).alias("first")
-    copies = met.select("id", (F.col("word") - F.col("left")).alias("word"), "length", first)
+    copies = written(met.select("id", (F.col("word") - F.col("left")).alias("word"), "length", first), "copies")
     return copies.unionByName(copies.select("first.id", "first.word", "length", "first").distinct())
 
 
