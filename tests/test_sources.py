@@ -1,6 +1,8 @@
 """File discovery, layouts, errors, and the equality of the ways in."""
 
 import gzip
+import os
+import struct
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from rimeweave.plans.campaigns import ARM_RECORD, ESCAPE_FORMAT, ICARTT, IPHEX_F
 from rimeweave.sources import records
 from rimeweave.sources.files import list_files, read_split_lines
 from rimeweave.sources.records import open_records
+from rimeweave.sources.sinks import save_lines
 from rimeweave.sources.tables import open_files, open_lines
 
 from .raw_files import arm, icartt, put
@@ -210,3 +213,29 @@ def test_record_files_are_listed_once(spark, tmp_path, monkeypatch):
     assert open_records(spark, str(tmp_path), ["x", "y"]).count() == 1 and len(loads) == 1
     with pytest.raises(FileNotFoundError):
         open_records(spark, str(tmp_path), ["x", "y"], "*.none")
+
+
+def test_tasks_write_many_small_files(spark, tmp_path):
+    """Each task opens its files itself; Spark's writer had a folder, a checksum and a rename by the driver for each."""
+    folder = tmp_path / "raw files"
+    rows = spark.range(3000).select(
+        F.concat(F.lit("f"), (F.col("id") % 300).cast("string"), F.when(F.col("id") % 2 == 0, ".gz").otherwise("")).alias("name"),
+        "id", F.col("id").cast("string").alias("value"),
+    )
+    lines = rows.repartition(4, "name").sortWithinPartitions("name", "id")
+    assert save_lines(lines, f"file:{folder}".replace(" ", "%20"))
+    assert sorted(os.listdir(folder)) == sorted(f"f{k}" + ("" if k % 2 else ".gz") for k in range(300))
+    for k in (7, 298):
+        held = (folder / (f"f{k}" + ("" if k % 2 else ".gz"))).read_bytes()
+        held = held if k % 2 else gzip.decompress(held)
+        assert held.decode() == "".join(f"{n}\n" for n in range(k, 3000, 300))
+    assert save_lines(rows.limit(0), f"file:{tmp_path}/none") and not save_lines(lines, "viewfs://store/raw")
+
+
+def test_wanted_columns_of_records(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(struct.pack(">6i", 1, 2, 3, 4, 5, 6))
+    (tmp_path / "b.bin").write_bytes(b"12345")
+    rows = open_records(spark, str(tmp_path), ["x", "y", "z"], wanted=["z", "x"])
+    assert rows.columns == ["path", "row_no", "error", "z", "x", "source_file"]
+    found = {(r.source_file, r.row_no, r.z, r.x, r.error is None) for r in rows.collect()}
+    assert found == {("a.bin", 0, 3, 1, True), ("a.bin", 1, 6, 4, True), ("b.bin", None, None, None, False)}
