@@ -239,3 +239,14 @@ def test_wanted_columns_of_records(spark, tmp_path):
     assert rows.columns == ["path", "row_no", "error", "z", "x", "source_file"]
     found = {(r.source_file, r.row_no, r.z, r.x, r.error is None) for r in rows.collect()}
     assert found == {("a.bin", 0, 3, 1, True), ("a.bin", 1, 6, 4, True), ("b.bin", None, None, None, False)}
+
+
+def test_text_of_a_file_is_split_once(spark, tmp_path):
+    """As an expression the text was split again at each mention of its lines: about twenty times a file."""
+    (tmp_path / "a.dat").write_text("4 1001\n2011 04 25\nTime qty\ns -\n1 2\n3 4\n3 4 5\n")
+    tables = open_files(spark, str(tmp_path), NAMES_BEFORE_LAST)
+    plan = tables.rows({"time": "Time"})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(replace(") == 1
+    late = tables.late_rows({"time": "Time"}, {"qty": lambda n: n.contains("qty")}, sentinels=(4.0,))
+    assert {(r.time, r.qty) for r in late.collect()} == {(1.0, 2.0), (3.0, None)}
+    assert [(r.file_name, r.n_rows) for r in tables.corrupt_counts().collect()] == [("a.dat", 1)] and not tables.errors().count()
